@@ -1,7 +1,7 @@
 """The registered corpus queries and the SQL that some are compared with."""
 
-from . import near_dedup
+from . import near_dedup, substring_dedup
 
-_MODULES = (near_dedup,)
+_MODULES = (near_dedup, substring_dedup)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
