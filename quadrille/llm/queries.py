@@ -1,7 +1,7 @@
 """The registered corpus queries and the SQL that some are compared with."""
 
-from . import fingerprints, near_dedup, substring_dedup, token_output
+from . import decontamination, fingerprints, mixing, near_dedup, quality, substring_dedup, token_output
 
-_MODULES = (fingerprints, near_dedup, substring_dedup, token_output)
+_MODULES = (decontamination, fingerprints, mixing, near_dedup, quality, substring_dedup, token_output)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -70,6 +70,9 @@ def _byte_codes(lower: bool) -> np.ndarray:
 _CODES = {flag: _byte_codes(flag) for flag in (False, True)}
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: With signs as gaps too, a word is a run of letters, digits and bytes beyond ASCII.
+_SIGNS = _SPACE.copy()
+_SIGNS[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
 @dataclass
@@ -112,10 +115,10 @@ def rolling(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix((total[first + n] - total[first]) * down[first]), first
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``offsets`` starts at 0."""
     n = len(data)
-    gap = _SPACE[data]
+    gap = (_SIGNS if signs else _SPACE)[data]
     head = ~gap
     tail = ~gap
     if n:
@@ -156,12 +159,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_slices(column: pa.Array, lower: bool, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_slices(
+    column: pa.Array, lower: bool, signs: bool = False, limit: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, Words]]:
     """``(i, j, words of the texts i:j)`` over a whole column."""
     data, offsets = text_buffers(column)
     for i, j in slices(offsets, limit):
         at = offsets[i : j + 1]
-        yield i, j, hash_words(data[at[0] : at[-1]], at - at[0], lower)
+        yield i, j, hash_words(data[at[0] : at[-1]], at - at[0], lower, signs)
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
