@@ -1,4 +1,16 @@
 """The registered queries and the SQL each is compared with."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import grids
+
+_MODULES = (grids,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items scattered to a lattice, then five steps of diffusion."""
+    return QUERIES["diffuse_explicit_5"](spark, sf_dir)
