@@ -119,14 +119,8 @@ def diffusion_rate(df: DataFrame, grid: Grid, value: str, diffusivity: str, out:
 
 def diffuse_implicit(df: DataFrame, grid: Grid, diffusivity: float, dt: float, value: str = "v", relative: float = 1e-6) -> DataFrame:
     """Backward Euler: solves (1 - dt D laplace) u = value by conjugate gradients (for boundaries without a value)."""
-    homogeneous = grid.map_boundary(lambda b: b.map(lambda _: 0.0))
-
-    def apply(rows: DataFrame, column: str, name: str) -> DataFrame:
-        near = laplace(rows.select(*grid.keys, column), homogeneous, column, "_l").select(*grid.keys, "_l")
-        return rows.join(near, grid.keys).withColumn(name, F.col(column) - F.col("_l") * (dt * diffusivity)).drop("_l")
-
     rows = df.select(*grid.keys, F.col(value).alias("b"))
-    return solve.conjugate_gradients(rows, apply, relative=relative).select(*grid.keys, F.col("x").alias(value))
+    return solve.solve_lattice(rows, grid, "b", value, 1.0, dt * diffusivity, relative)
 
 
 def diffuse_fourier(df: DataFrame, grid: Grid, diffusivity: float, dt: float, value: str = "v", batch: tuple[str, ...] = ()) -> DataFrame:
@@ -138,7 +132,7 @@ def diffuse_fourier(df: DataFrame, grid: Grid, diffusivity: float, dt: float, va
 # --- fluids --------------------------------------------------------------------------------------
 
 
-def make_incompressible(faces: DataFrame, grid: Grid, relative: float = 1e-6, active: str | None = None) -> tuple[DataFrame, DataFrame]:
+def make_incompressible(faces: DataFrame, grid: Grid, relative: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """The staggered field (axis, indices, v) without its divergence, and the pressure (indices, p).
 
     ``grid`` carries the velocity's boundary.  A domain closed on all sides has
@@ -149,11 +143,8 @@ def make_incompressible(faces: DataFrame, grid: Grid, relative: float = 1e-6, ac
     div = divergence(faces, grid, "b")
     div = lattice(faces.sparkSession, grid).join(div, grid.keys, "left").na.fill(0.0, ["b"])
 
-    def apply(rows: DataFrame, column: str, name: str) -> DataFrame:
-        near = laplace(rows.select(*grid.keys, column), pressure_grid, column, name).select(*grid.keys, name)
-        return rows.join(near, grid.keys)
-
-    pressure = solve.conjugate_gradients(div, apply, relative=relative, project=closed).select(*grid.keys, F.col("x").alias("p"))
+    div = div.withColumn("b", -F.col("b"))
+    pressure = solve.solve_lattice(div, pressure_grid, "b", "p", relative=relative, project=closed)
     slope = face_gradient(pressure, pressure_grid, "p", boundary=grid).withColumnRenamed("v", "_g")
     keys = ["axis", *grid.keys]
     out = faces.join(slope, keys, "left").withColumn("v", F.col("v") - F.coalesce("_g", F.lit(0.0))).drop("_g")

@@ -99,10 +99,64 @@ def grid_kernel(
 
     fields = df.select(*batch, *keys, F.col(value).cast("double").alias(value))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.drop(value).schema.fields)
-    groups = fields.groupBy(*batch) if batch else fields.groupBy(F.lit(0))
+    groups = fields.groupBy(*batch) if batch else fields.withColumn("_all", F.lit(0)).groupBy("_all")
     return groups.applyInPandas(run, f"{schema}, {out} double")
 
 
+def laplace_array(a: np.ndarray, grid: Grid) -> np.ndarray:
+    """The Laplacian of an array by the boundary rules of a lattice, constants taken as 0."""
+    out = np.zeros_like(a)
+    for k, axis in enumerate(grid.axes):
+        lo, hi = grid.boundary[axis]
+        last = a.shape[k] - 1
+        side = {"periodic": lambda i: np.take(a, [i], k), "edge": lambda i: np.take(a, [last - i], k)}
+        below = side[lo.kind](last) if lo.kind in side else np.zeros_like(np.take(a, [0], k))
+        above = side[hi.kind](0) if hi.kind in side else np.zeros_like(np.take(a, [0], k))
+        wide = np.concatenate([below, a, above], k)
+        out += (np.take(wide, range(2, last + 3), k) + np.take(wide, range(last + 1), k) - 2 * a) / grid.dx[axis] ** 2
+    return out
+
+
+def solve_array(b: np.ndarray, grid: Grid, alpha: float, beta: float, relative: float, iterations: int, project: bool) -> np.ndarray:
+    """(alpha - beta laplace) x = b by conjugate gradients on an array."""
+    r = b - b.mean() if project else b.copy()
+    x, p, rr = np.zeros_like(b), r.copy(), float((r * r).sum())
+    goal, k = max(relative**2 * rr, 1e-24), 0
+    while rr > goal:
+        if k == iterations:
+            raise NotConverged(f"residual {rr**0.5:.3g} after {k} iterations")
+        q = alpha * p - beta * laplace_array(p, grid)
+        step = rr / float((p * q).sum())
+        x, r = x + step * p, r - step * q
+        new = float((r * r).sum())
+        p, rr, k = r + (new / rr) * p, new, k + 1
+    return x - x.mean() if project else x
+
+
+def solve_lattice(
+    df: DataFrame, grid: Grid, right: str = "b", out: str = "x", alpha: float = 0.0, beta: float = 1.0, relative: float = 1e-6,
+    iterations: int = 1000, project: bool = False, batch: tuple[str, ...] = (), distributed: bool | None = None,
+) -> DataFrame:
+    """Solve (alpha - beta laplace) x = b; constants of the boundary count as 0.
+
+    A lattice that fits a worker is solved there, each batch slice in its own
+    task; a larger one by distributed conjugate gradients (one batch slice).
+    """
+    if not (fits_worker(grid) if distributed is None else not distributed):
+        from .stencil import laplace
+
+        zero = grid.map_boundary(lambda b: b.map(lambda _: 0.0))
+
+        def apply(rows: DataFrame, column: str, name: str) -> DataFrame:
+            near = laplace(rows.select(*grid.keys, column), zero, column, "_l").select(*grid.keys, "_l")
+            return rows.join(near, grid.keys).withColumn(name, F.col(column) * alpha - F.col("_l") * beta).drop("_l")
+
+        rows = df.select(*grid.keys, F.col(right).alias("b"))
+        done = conjugate_gradients(rows, apply, "b", "x", relative, 1e-12, iterations, project)
+        return done.select(*grid.keys, F.col("x").alias(out))
+    return grid_kernel(df, grid, lambda b: solve_array(b, grid, alpha, beta, relative, iterations, project), right, out, batch)
+
+
 def frequencies(grid: Grid) -> np.ndarray:
     """Squared wave numbers (2 pi k)^2 of the discrete Fourier transform of a lattice."""
     axes = [2 * np.pi * np.fft.fftfreq(n, grid.dx[a]) for a, n in grid.resolution.items()]
