@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import list_array, slices, text_buffers
+from .textops import slices, text_buffers
 
 #: Embeddings and their width.
 BITS, DIM = 14, 16
@@ -155,15 +155,15 @@ def train(
 
 
 def _features(batches):
+    """Buckets and shares as raw bytes: as lists they would be an object for each number on the driver."""
     for batch in batches:
         buckets, shares = counts(batch.column(1))
         if buckets:
-            n = np.array([len(b) for b in buckets])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    list_array(np.concatenate(buckets), n, pa.int32()),
-                    list_array(np.concatenate(shares), n, pa.float32()),
+                    pa.array([b.astype("<u2").tobytes() for b in buckets], pa.binary()),
+                    pa.array([c.astype("<f4").tobytes() for c in shares], pa.binary()),
                 ],
                 ["lang", "buckets", "shares"],
             )
@@ -181,12 +181,13 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         # picked by a hash, whatever the order and the layout of the table
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = known.select("lang", "text").limit(rows)
-    found = known.mapInArrow(_features, "lang string, buckets array<int>, shares array<float>").collect()
+    found = known.mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
     languages = sorted({r.lang for r in found}) or [UNKNOWN]
     labels = np.array([languages.index(r.lang) for r in found], np.int64)
-    buckets = [np.array(r.buckets, np.int64) for r in found]
-    shares = [np.array(r.shares, np.float32) for r in found]
-    order = sorted(range(len(found)), key=lambda i: (labels[i], len(buckets[i]), buckets[i].tolist()[:8]))
+    # whatever order rows came in
+    order = sorted(range(len(found)), key=lambda i: (found[i].lang, bytes(found[i].buckets), bytes(found[i].shares)))
+    buckets = [np.frombuffer(r.buckets, "<u2") for r in found]
+    shares = [np.frombuffer(r.shares, "<f4") for r in found]
     return train(languages, labels[order], [buckets[i] for i in order], [shares[i] for i in order])
 
 
