@@ -51,17 +51,16 @@ def repetitions(mean: Column, key: Column, seed: int) -> Column:
 def rates(docs: DataFrame, targets: dict[str, float] | None, n_out: int | None) -> DataFrame:
     """(source, rate) of each source that has rows; sources without a target get none."""
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("sources"))
     if targets is None:
-        weight = F.lit(1.0) / F.col("sources")
+        counts = counts.withColumn("weight", F.lit(1.0))
     else:
         # weights count among the sources that have rows
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "name string, weight double")
         counts = counts.join(given, counts.source.eqNullSafe(given.name), "left").na.fill(0.0, ["weight"]).drop("name")
-        total = counts.agg(F.sum("n").alias("total"), F.sum("weight").alias("weights"))
-        weight = F.col("weight") / F.col("weights")
-    out = F.lit(n_out) if n_out is not None else F.col("total")
-    return counts.crossJoin(F.broadcast(total)).select("source", (weight * out / F.col("n")).alias("rate"))  # one row
+    rows, weights = counts.agg(F.sum("n"), F.sum("weight")).first()
+    out = rows if n_out is None else n_out
+    share = F.col("weight") / F.lit(weights) if weights else F.lit(0.0)
+    return counts.select("source", (share * F.lit(float(out or 0)) / F.col("n")).alias("rate"))
 
 
 def mix(
