@@ -4,7 +4,7 @@ A text's subwords are all runs of 2, 3 and 4 bytes of its lower-cased UTF-8
 with word gaps as one space.  Each hashes to one of ``BUCKETS`` embeddings; the text is
 the average of its subwords' embeddings, and a linear softmax gives the
 languages.  Embeddings and softmax are trained together by stochastic gradient
-descent in numpy on the driver, on at most ``TRAIN_ROWS`` labelled documents
+descent in numpy on the driver, on the rows of at most ``TRAIN_ROWS`` doc_ids
 whose subword counts the executors made.  A held-back part of these sets the
 temperature that makes scores probabilities, and the score under which a
 prediction is rejected.
@@ -176,11 +176,13 @@ def in_training_fold(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from text and non-null lang of the training fold; without any such row, from nothing (one language, und)."""
     known = docs.where("lang is not null and text is not null").where(in_training_fold())
-    share = 1.1 * rows / max(1, known.count())
+    share = 1.2 * rows / max(1, known.count())
+    pick = F.xxhash64("doc_id", F.lit(3))
     if share < 1:
-        # picked by a hash, whatever the order and the layout of the table
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    known = known.select("lang", "text").limit(rows)
+        # a share by hash, then the bound itself: the same rows whatever the layout of the table
+        known = known.where(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)))
+    ids = known.select("doc_id").distinct().orderBy(pick, "doc_id").limit(rows)
+    known = known.join(F.broadcast(ids), "doc_id").select("lang", "text").limit(2 * rows)  # at most ``rows`` ids
     found = known.mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
     languages = sorted({r.lang for r in found}) or [UNKNOWN]
     labels = np.array([languages.index(r.lang) for r in found], np.int64)
