@@ -55,6 +55,7 @@ _OUT_NAMES = set(
     " cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing"
     " social related recommended widget toolbar pagination pager skip hidden".split()
 )
+_ABOUT_OTHERS = set("has with no without is".split())
 _HEADER_NAMES = {"header", "topbar", "top"}
 _ARTICLE_TAGS = {"article", "main"}
 _ARTICLE_NAMES = set("article content main post entry story body text".split())
@@ -75,12 +76,22 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
+def _names(raw: str) -> set[str]:
+    """Parts of class names and ids; names like has-sidebar say something about the page, not about the element."""
+    out: set[str] = set()
+    for name in raw.split():
+        parts = [x.lower() for x in _NAME_PART.findall(name)]
+        if parts and parts[0] not in _ABOUT_OTHERS:
+            out.update(parts)
+    return out
+
+
 def _open(tag: str, raw: str, parent: Node) -> Node:
     names: set[str] = set()
     out = parent.out or tag in _OUT_TAGS
     if raw and not raw.isspace():
         a = _attributes(raw)
-        names = {x.lower() for x in _NAME_PART.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+        names = _names(f"{a.get('class', '')} {a.get('id', '')}")
         style = a.get("style", "").replace(" ", "").lower()
         out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in _OUT_ROLES
     if not out and tag not in ("html", "body"):

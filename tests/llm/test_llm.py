@@ -434,6 +434,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><scrip
         ("<article><h1>Head</h1><p>One&nbsp;&amp; two,\n  three.</p><!-- x --><p><b>Bold<br><p>Next, more.</article>", "Head One & two, three. Bold Next, more."),
         ("<div class='content'><p>Long enough text, with commas, for an article.</p><ul><li>a</li><li>b</li></ul><p>End.</p></div>", "Long enough text, with commas, for an article. a b End."),
         ("<main><p>x</p></main>", "x"),
+        ("<div class='post has-sidebar'><p>Some words, more words, and many more of them here.</p><div class='post-comments'><p>Me too, me, too.</p></div></div>", "Some words, more words, and many more of them here."),
         ("", ""),
     ],
 )
