@@ -340,9 +340,19 @@ def semi_lagrangian_step(spark, sf_dir):
     return rounded(out.select("ix", "iy", "v"))
 
 
-@query()
+def _corner_bounds(points: str) -> str:
+    """Least and greatest of the four values around positions (x, y) of a table of cells."""
+    at = f"select ix, iy, least(floor(greatest(-1.0, least({NX}.0, x - 0.5))), {NX - 1}) as bx, least(floor(greatest(-1.0, least({NY}.0, y - 0.5))), {NY - 1}) as by_ from {points}"
+    corner = [f"coalesce((select b.v from g b where b.ix = bx + {i} and b.iy = by_ + {j}), 0.0)" for i in (0, 1) for j in (0, 1)]
+    return f"select ix, iy, least({', '.join(corner)}) as low, greatest({', '.join(corner)}) as high from ({at})"
+
+
+@query(f"""with {G_SQL}, back as (select ix, iy, ix + 0.5 - w * 1.5 as x, iy + 0.5 - u * 1.5 as y from g), fwd as ({_bilinear("back", "x", "y", keys="ix, iy")}),
+lim as ({_corner_bounds("back")}), ahead as (select ix, iy, ix + 0.5 + w * 1.5 as x, iy + 0.5 + u * 1.5 as y from g),
+bwd as ({_bilinear("ahead", "x", "y", keys="ix, iy").replace("from g b", "from fwd b")})
+select g.ix, g.iy, {r6("greatest(low, least(fwd.v + 0.5 * (g.v - bwd.v), high))", "v")} from g join fwd using (ix, iy) join bwd using (ix, iy) join lim using (ix, iy)""")
 def mac_cormack_step(spark, sf_dir):
-    out = physics.mac_cormack(line_field(spark, sf_dir), line_grid("edge"), "v", {"x": "w", "y": "u"}, 1.5)
+    out = physics.mac_cormack(line_field(spark, sf_dir), line_grid(0.0), "v", {"x": "w", "y": "u"}, 1.5)
     return rounded(out.select("ix", "iy", "v"))
 
 
@@ -353,7 +363,18 @@ def advect_points_euler(spark, sf_dir):
     return rounded(out.select("elem_id", "x", "y"))
 
 
-@query()
+def _stage(k: int, points: str) -> str:
+    """CTEs of the velocity (w, u) at the positions of a table, as table k<k>."""
+    return f"kw{k} as ({_bilinear(points, 'x', 'y', 'w')}), ku{k} as ({_bilinear(points, 'x', 'y', 'u')}), k{k} as (select elem_id, w, u from kw{k} join ku{k} using (elem_id))"
+
+
+def _ahead(k: int, part: float) -> str:
+    return f"p{k} as (select elem_id, x + {part} * w as x, y + {part} * u as y from q join k{k} using (elem_id))"
+
+
+@query(f"""with {G_SQL}, {Q_SQL}, {_stage(1, "q")}, {_ahead(1, 1.0)}, {_stage(2, "p1")}, {_ahead(2, 1.0)}, {_stage(3, "p2")}, {_ahead(3, 2.0)}, {_stage(4, "p3")}
+select elem_id, {r6("x + 2.0 * (k1.w + 2 * k2.w + 2 * k3.w + k4.w) / 6", "x")}, {r6("y + 2.0 * (k1.u + 2 * k2.u + 2 * k3.u + k4.u) / 6", "y")}
+from q join k1 using (elem_id) join k2 using (elem_id) join k3 using (elem_id) join k4 using (elem_id)""")
 def advect_points_rk4(spark, sf_dir):
     out = physics.advect_points(part_points(spark, sf_dir), line_field(spark, sf_dir), line_grid(0.0), {"x": "w", "y": "u"}, 2.0, "rk4")
     return rounded(out.select("elem_id", "x", "y"))
