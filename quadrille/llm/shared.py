@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(where)
+    # with its scheme, so that it names one place for Spark and for pyarrow
+    full = store.makeQualified(where).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -41,3 +45,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """Aggregated rows without the partitioning that the aggregation left.
+
+    A join on ``key`` then shuffles both sides, and adaptive execution may
+    split a key that very many rows of the other side share.
+    """
+    return df.withColumn(key, F.col(key).cast("string").cast("long"))
