@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import dealt_anew, saved, table
 from .textops import Words, list_array, mix, rolling, word_slices
 
 #: Words in a seed. A window of 35 words has 24 of them, and about one word in twelve starts an anchor.
@@ -191,7 +191,7 @@ def repeated_spans(
 
     occurrences = survey.select("row", F.explode("anchors").alias("seed"))
     shared = occurrences.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    seeds = occurrences.join(shared, "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
+    seeds = occurrences.join(dealt_anew(shared, "seed"), "seed").groupBy("row").agg(F.collect_set("seed").alias("seeds"))
     # one row of each text is enough: a text with copies goes as a whole
     seeds = saved(seeds.join(copies, "row"), "seeds")
 
@@ -202,7 +202,7 @@ def repeated_spans(
         "windows",
     )
     again = contexts.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-    repeated = contexts.select("window", "row").join(again, "window").groupBy("row").agg(F.collect_set("window").alias("windows"))
+    repeated = contexts.select("window", "row").join(dealt_anew(again, "window"), "window").groupBy("row").agg(F.collect_set("window").alias("windows"))
     single = repeated.join(seeds.where("copies = 1").select(F.col("key").alias("of"), "one", "row"), "row")
     cut = (
         docs.join(single, same)
