@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import dealt_anew, saved
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -30,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = both.where("v > u").join(dealt_anew(low, "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(dealt_anew(low, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = saved(small.union(low).where("a <> b").distinct(), "edges")
         before, state = state, _sum(edges)
         if state == before:

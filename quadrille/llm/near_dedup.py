@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import saved, table
+from .shared import dealt_anew, saved, table
 from .textops import list_array, mix, rolling, seeds, word_slices
 
 #: A pair at the threshold itself shares no band with this probability at most.
@@ -244,7 +244,7 @@ def near_duplicates(
     )
     banded = classes.select(F.explode("bands").alias("key"), "node")
     lead = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    stars = banded.join(lead, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    stars = banded.join(dealt_anew(lead, "key"), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     near = components(stars)
     members = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
     members = members.select("node", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
