@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import list_array, word_slices
+from .textops import word_slices
 
 #: Words in a passage.
 PASSAGE = 48
@@ -174,13 +174,23 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 3
     return model
 
 
+#: Documents whose passages are held at once.
+BLOCK = 256
+
+
 def _features(batches):
+    """Features as raw bytes: as lists they would be an object for each number on the driver."""
     for batch in batches:
         x, counts = passages(batch.column(1))
-        if len(counts):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), list_array(x.ravel(), counts * WIDTH, pa.float32())], ["label", "features"]
-            )
+        cut = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([b.astype("<f4").tobytes() for b in cut], pa.binary())], ["label", "features"]
+        )
+
+
+def _in_blocks(model: Model, column: pa.Array) -> np.ndarray:
+    """Scores of a column's texts."""
+    return np.concatenate([model.score(*passages(column[k : k + BLOCK])) for k in range(0, len(column), BLOCK)])
 
 
 def in_training_fold(doc_id) -> F.Column:
@@ -199,9 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     pairs = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` ids
-    found = pairs.mapInArrow(_features, "label int, features array<float>")
-    found = found.where(F.size("features") <= TRAIN_PASSAGES * WIDTH).limit(rows).collect()
-    xs = [np.array(r.features, np.float32).reshape(-1, WIDTH) for r in found]
+    found = pairs.mapInArrow(_features, "label int, features binary")
+    found = found.where(F.length("features") <= 4 * TRAIN_PASSAGES * WIDTH).limit(rows).collect()
+    found.sort(key=lambda r: (r.label, bytes(r.features)))  # whatever order rows came in
+    xs = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH) for r in found]
     x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float32)
     return train(x, np.array([len(a) for a in xs], np.int64), np.array([r.label for r in found], np.float64))
 
@@ -211,9 +222,9 @@ def _scores(shared):
         model = shared.value
         for batch in batches:
             if batch.num_rows:
-                x, counts = passages(batch.column(batch.num_columns - 1))
+                scores = _in_blocks(model, batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(model.score(x, counts))], [*batch.schema.names[:-1], "score"]
+                    [*batch.columns[:-1], pa.array(scores)], [*batch.schema.names[:-1], "score"]
                 )
 
     return run
@@ -244,8 +255,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, counts = passages(batch.column(at))
-                yield batch.filter(pa.array(shared.value.score(x, counts) >= THRESHOLD))
+                yield batch.filter(pa.array(_in_blocks(shared.value, batch.column(at)) >= THRESHOLD))
 
     return docs.mapInArrow(run, schema)
 
