@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..meta import EDGE, PERIODIC, ZERO, Grid
 from ..operators import aggregate as agg
 from ..operators import physics, resample, solve, stencil
-from .tables import G_SQL, NX, NY, P_SQL, Q_SQL, line_field, line_grid, part_points, plain_points, rounded, table
+from .tables import G_SQL, NX, NY, P_SQL, Q_SQL, line_field, line_grid, part_field, part_points, plain_points, rounded, table
 
 MIXED = {"x": EDGE, "y": ZERO}
 QUERIES, ORACLE_SQL = {}, {}
@@ -389,11 +389,7 @@ def advection_rate(spark, sf_dir):
 
 @query()
 def incompressible_projection(spark, sf_dir):
-    """A closed 10 x 8 box of faces made from part sizes, without its divergence."""
-    grid = Grid.of(0.0, x=10, y=8)
-    from ..operators.lattice import face_lattice
-
-    parts = table(spark, sf_dir, "part").where("p_partkey <= 144").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("double").alias("s"))
-    faces = face_lattice(spark, grid).withColumn("k", F.when(F.col("axis") == "x", F.col("ix") * 8 + F.col("iy")).otherwise(F.col("ix") * 7 + F.col("iy") + 80))
-    faces = faces.drop("v").join(parts, "k", "left").select("axis", "ix", "iy", F.coalesce("s", F.lit(1.0)).alias("v"))
+    """A closed lattice of sizes by prices, whose faces have the mean price share of all parts around them, without its divergence."""
+    grid = line_grid(0.0)
+    faces = stencil.at_faces(part_field(spark, sf_dir), grid, "v")
     return rounded(physics.make_incompressible(faces, grid, 1e-10)[0])

@@ -57,6 +57,14 @@ def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_SQL = f"q as (select p_partkey as elem_id, (p_size - 0.37)::double as x, ((p_retailprice - 900) / 100 * {NY})::double as y from part)"
 
 
+def part_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ix, iy, v): mean price over 900 in hundreds of all parts by size and price on the line lattice, rounded to 9 digits; 0 without parts."""
+    from ..operators.resample import scatter
+
+    points = part_points(spark, sf_dir).withColumn("v", F.col("y") / NY)
+    return scatter(points, line_grid(), "v", outside="clamp").withColumn("v", F.round("v", 9))
+
+
 def plain_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(elem_id, x, y): size and price over 900 of parts."""
     p = table(spark, sf_dir, "part")
