@@ -79,13 +79,19 @@ def normalize(df: DataFrame, reference: DataFrame, value: str = "v", epsilon: fl
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, weight: str | None = None) -> DataFrame:
-    """Count (or summed weight) in each of ``bins`` equal bins; the upper end belongs to the last. Empty bins have a row."""
-    inside = df.where((F.col(value) >= low) & (F.col(value) <= high))
-    index = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    w = F.sum(weight) if weight else F.count("*").cast("double")
-    found = inside.groupBy(index.alias("bin")).agg(w.alias("weight"))
+    """Count (or summed weight) in each of ``bins`` equal bins; the upper end belongs to the last. Empty bins have a row.
+
+    No row is left out, so weights sum to the whole: bin -1 has what is below
+    ``low``, bin ``bins`` what is above ``high``, and a null bin the nulls and
+    NaNs.  These three have a row only if something is in them.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    inside = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    index = F.when(v < low, -1).when(v > high, bins).when(v.isNotNull(), inside)
+    w = F.sum(weight).cast("double") if weight else F.count("*").cast("double")
+    found = df.groupBy(index.alias("bin")).agg(w.alias("weight"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(found, "bin", "left").na.fill(0.0, ["weight"])
+    return every.join(found, "bin", "full").na.fill(0.0, ["weight"])
 
 
 def smooth(df: DataFrame, order: str, value: str, n: int, batch: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
+from quadrille.operators import aggregate
 from quadrille.plans.grids import QUERIES as GRIDS
+from quadrille.plans.shapes import QUERIES as SHAPES
 
 
 def test_projection_reads_every_part(spark, tmp_path):
@@ -30,3 +32,13 @@ def test_projection_reads_every_part(spark, tmp_path):
     want = v - np.linalg.pinv(divergence) @ (divergence @ v)
     assert set(got) == set(faces)
     assert np.array([got[f] for f in faces]) == pytest.approx(want, abs=2e-6)
+
+
+def test_histogram_keeps_rows_beyond_its_bounds(spark, tmp_path):
+    values = [0.0, 24.9, 25.0, 499.0, 500.0, 500.1, 9e9, -0.5, float("nan"), None]
+    spark.createDataFrame([(v,) for v in values], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.bin: r.weight for r in SHAPES["histogram_values"](spark, str(tmp_path)).collect()}
+    assert got == {**dict.fromkeys(range(20), 0.0), 0: 2.0, 1: 1.0, 19: 2.0, 20: 2.0, -1: 1.0, None: 2.0}
+    df = spark.createDataFrame([(1.0, 2), (7.0, 3), (3.0, 4)], "value double, w int")
+    got = {r.bin: r.weight for r in aggregate.histogram(df, "value", 0.0, 4.0, 2, "w").collect()}
+    assert got == {0: 2.0, 1: 4.0, 2: 3.0}
