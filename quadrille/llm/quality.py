@@ -7,9 +7,10 @@ attention, learned from document labels alone, weights the passages, and the
 score is a logistic function of the weighted sum.
 
 Training runs on the driver in numpy, on at most ``TRAIN_ROWS`` labelled
-documents picked by a hash of doc_id, each of at most ``TRAIN_PASSAGES``
-passages; the features are made by the executors.  Scoring is one map-only
-Arrow pass.
+documents picked by a hash of doc_id.  Of a document with more than
+``TRAIN_PASSAGES`` passages it takes so many, picked by a hash of their place;
+the features are made by the executors.  Scoring is one map-only Arrow pass
+over all passages.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import word_slices
+from .textops import seeds, word_slices
 
 #: Words in a passage.
 PASSAGE = 48
@@ -178,13 +179,18 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = 3
 BLOCK = 256
 
 
+def _sample(x: np.ndarray) -> np.ndarray:
+    """A document's passages for training, in their order."""
+    return x if len(x) <= TRAIN_PASSAGES else x[np.sort(np.argsort(seeds(len(x), 4))[:TRAIN_PASSAGES])]
+
+
 def _features(batches):
     """Features as raw bytes: as lists they would be an object for each number on the driver."""
     for batch in batches:
         x, counts = passages(batch.column(1))
         cut = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([b.astype("<f4").tobytes() for b in cut], pa.binary())], ["label", "features"]
+            [batch.column(0), pa.array([_sample(b).astype("<f4").tobytes() for b in cut], pa.binary())], ["label", "features"]
         )
 
 
@@ -210,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     pairs = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` ids
     found = pairs.mapInArrow(_features, "label int, features binary")
-    found = found.where(F.length("features") <= 4 * TRAIN_PASSAGES * WIDTH).limit(rows).collect()
+    found = found.limit(rows).collect()
     found.sort(key=lambda r: (r.label, bytes(r.features)))  # whatever order rows came in
     xs = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH) for r in found]
     x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float32)

@@ -1,0 +1,30 @@
+"""The corpus operators do the whole job: cases that were once left out."""
+
+import random
+
+import numpy as np
+
+from quadrille.llm import decontamination, near_dedup, quality, url_filter
+
+WORDS = "river stone cloud meadow amber lantern quiet harbor copper thistle maple orbit velvet ember canyon drift".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def test_quality_learns_from_long_documents(spark):
+    rng = random.Random(7)
+    n = quality.PASSAGE * quality.TRAIN_PASSAGES
+    texts = [sentence(rng, n + 50) if k % 2 else "BUY NOW!! " * (n // 2 + 25) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert [r.predicted for r in sorted(got)] == [k % 2 for k in range(40)]
+
+
+def test_quality_samples_passages_of_long_documents():
+    x = np.arange(1000)[:, None]
+    own = quality._sample(x)[:, 0]
+    assert len(own) == quality.TRAIN_PASSAGES and (np.diff(own) > 0).all() and own[0] < 50 and own[-1] > 950
+    assert (quality._sample(x[:256]) == x[:256]).all()
