@@ -5,7 +5,8 @@ Plan, for N documents:
 1. One map-only Arrow pass makes each document's set of word shingles, a
    128-bit digest of the set, its universal-hash minima, and one key a band.
 2. Equal sets collapse into classes (aggregation with map-side combine), so a
-   group of copies of any size is one row from here on.
+   group of copies of any size is one row from here on.  A class has a number
+   of its own, written with it, so rows of one doc_id may be in several.
 3. Every band key with two classes or more links each of its classes to the
    smallest one: a star, never all pairs.  The stars' connected components
    bound where links can be.
@@ -112,15 +113,16 @@ def _signatures(size: int, rows: int, bands: int):
                         pa.array(np.array(high, np.uint64).view(np.int64)),
                         list_array(flat, np.array(used), pa.int64()),
                         pa.array(marks, pa.binary()),
+                        batch.column(2),
                     ],
-                    ["doc_id", "n_shingles", "low", "high", "bands", "marks"],
+                    ["doc_id", "n_shingles", "low", "high", "bands", "marks", "mark"],
                 )
 
     return run
 
 
 def _sets(size: int):
-    """Rows (doc_id, text, low, high, rest...) to (doc_id, rest..., set), where the digest is the expected one."""
+    """Rows (node, text, low, high, rest...) to (node, rest..., set), where the digest is the expected one."""
 
     def run(batches):
         for batch in batches:
@@ -136,7 +138,7 @@ def _sets(size: int):
                 at = pa.array(rows)
                 flat = np.concatenate(values).view(np.int64)
                 rest = [batch.column(0).take(at)] + [batch.column(k).take(at) for k in range(4, batch.num_columns)]
-                names = ["doc_id", *batch.schema.names[4:], "shingles"]
+                names = ["node", *batch.schema.names[4:], "shingles"]
                 yield pa.RecordBatch.from_arrays([*rest, list_array(flat, np.array(lengths), pa.int64())], names)
 
     return run
@@ -182,7 +184,7 @@ def cell_links(
 
 
 def _cells(threshold: Fraction):
-    """Rows sorted by cell (component, lo, hi, block, doc_id, marks, shingles) to links (a, b)."""
+    """Rows sorted by cell (component, lo, hi, block, node, marks, shingles) to links (a, b)."""
 
     def solve(rows):
         blocks = np.array([r[0] for r in rows])
@@ -225,21 +227,27 @@ def near_duplicates(
 
     Null, empty and blank texts have an empty set and are linked with nothing.
     A row without doc_id is in no class with another: its component_id is null
-    and it is kept.  Repeated rows share a class, and equal rows one doc_id, so
-    all of those are kept together.  Other columns are ignored; an empty table
-    gives an empty result.
+    and it is kept.  Rows are told apart by doc_id and set, so different texts of
+    one doc_id are linked or kept each by its own set; rows that are equal in
+    both are kept together.  Other columns are ignored; an empty table gives an
+    empty result.
     """
+    return _judged(docs, threshold, size, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, threshold: float, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``near_duplicates`` with the set's digest (``low``, ``high``) and the xxhash64 of the text (``mark``)."""
     exact = Fraction(threshold).limit_denominator(10_000)
     rows, bands = banding(float(exact))
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, low long, high long, bands array<long>, marks binary"
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    schema = "doc_id long, n_shingles long, low long, high long, bands array<long>, marks binary, mark long"
     signed = saved(docs.mapInArrow(_signatures(size, rows, bands), schema), "signatures")
     sets = ["low", "high", "n_shingles"]
     classes = saved(
         signed.where("n_shingles > 0 and doc_id is not null")
         .groupBy(*sets)
-        .agg(F.min("doc_id").alias("node"), F.min_by(F.struct("bands", "marks"), "doc_id").alias("of"))
-        .select(*sets, "node", "of.bands", "of.marks"),
+        .agg(F.min("doc_id").alias("first"), F.min_by(F.struct("bands", "marks"), "doc_id").alias("of"))
+        .select(*sets, "first", F.monotonically_increasing_id().alias("node"), "of.bands", "of.marks"),
         "classes",
     )
     banded = classes.select(F.explode("bands").alias("key"), "node")
@@ -249,12 +257,12 @@ def near_duplicates(
     members = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
     members = members.select("node", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    members = members.join(classes.select("node", "low", "high", "marks"), "node")
-    texts = docs.join(members, docs.doc_id == members.node).select(
-        "doc_id", "text", "low", "high", "component", "g", "block", "marks"
+    members = members.join(classes.select("node", "first", "low", "high", "marks"), "node")
+    texts = docs.join(members, docs.doc_id == members["first"]).select(
+        "node", "text", "low", "high", "component", "g", "block", "marks"
     )
     held = texts.mapInArrow(
-        _sets(size), "doc_id long, component long, g int, block int, marks binary, shingles array<long>"
+        _sets(size), "node long, component long, g int, block int, marks binary, shingles array<long>"
     )
     cells = (
         held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -263,7 +271,7 @@ def near_duplicates(
             F.least("block", "other").alias("lo"),
             F.greatest("block", "other").alias("hi"),
             "block",
-            "doc_id",
+            "node",
             "marks",
             "shingles",
         )
@@ -271,28 +279,35 @@ def near_duplicates(
         .sortWithinPartitions("component", "lo", "hi")
     )
     links = cells.mapInArrow(_cells(exact), "a long, b long")
-    found = components(links).withColumnRenamed("node", "rep")
+    found = components(links)
+    # each component's class with the smallest doc_id, of several the one with the smallest digest
+    heads = found.join(classes.select("node", "first", "low", "high"), "node")
+    heads = heads.groupBy("component").agg(F.min(F.struct("first", "low", "high", "node")).alias("head"))
+    found = found.join(dealt_anew(heads, "component"), "component").select(F.col("node").alias("rep"), "head")
+    found = found.select("rep", F.col("head.first").alias("component_id"), F.col("head.node").alias("head"))
+    at_head = F.col("component_id").eqNullSafe(F.col("doc_id")) & F.coalesce(F.col("rep") == F.col("head"), F.lit(True))
     return (
-        signed.select("doc_id", *sets)
-        .join(classes.select(*sets, F.col("node").alias("rep")), sets, "left")
+        signed.select("doc_id", *sets, "mark")
+        .join(classes.select(*sets, "first", F.col("node").alias("rep")), sets, "left")
         .join(found, "rep", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first", "doc_id")))
+        .withColumn("kept", at_head)
     )
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` of which near-duplicate detection keeps the document, one row for each doc_id.
+    """The rows of ``docs`` that near-duplicate detection keeps, one row for each doc_id and set.
 
-    Rows without a doc_id all stay.
+    Of rows with one doc_id and set, those of the text with the least hash are
+    taken, and of these the least row.  Rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs, threshold, size).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null"))
+    judged = _judged(docs, threshold, size).where("kept and doc_id is not null")
+    own = F.when(F.col("n_shingles") == 0, F.col("mark"))  # empty sets are linked with nothing
+    kept = judged.groupBy("doc_id", "low", "high", "n_shingles", own.alias("own")).agg(F.min("mark").alias("_mark"))
+    kept = kept.select(F.col("doc_id").alias("_doc"), "_mark")
+    marked = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_mark"), F.struct(*docs.columns).alias("_row"))
+    one = marked.join(kept, ["_doc", "_mark"], "left_semi").groupBy("_doc", "_mark").agg(F.min("_row").alias("_row"))
+    return one.select("_row.*").union(docs.where("doc_id is null"))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

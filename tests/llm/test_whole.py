@@ -28,3 +28,23 @@ def test_quality_samples_passages_of_long_documents():
     own = quality._sample(x)[:, 0]
     assert len(own) == quality.TRAIN_PASSAGES and (np.diff(own) > 0).all() and own[0] < 50 and own[-1] > 950
     assert (quality._sample(x[:256]) == x[:256]).all()
+
+
+def test_near_duplicates_tell_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(3)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    edited = lambda t, k: " ".join([*t.split()[:-1], f"edit{k}"])
+    rows = [
+        (5, a, "x"), (7, edited(a, 1), "x"),  # near
+        (5, b, "x"), (9, edited(b, 2), "x"),  # near, and nothing to do with the others
+        (8, c, "x"), (8, edited(c, 3), "x"), (8, c.upper(), "x"), (8, c, "y"),  # near, all of one doc_id
+        (4, None, "x"), (4, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(4, 4)] * 2 + [(5, 5)] * 2 + [(7, 5)] + [(8, 8)] * 4 + [(9, 5)]
+    kept = [tuple(r) for r in near_dedup.drop_near_duplicates(docs).collect()]
+    assert sorted(r for r in kept if r[0] == 5) == sorted([(5, a, "x"), (5, b, "x")])
+    assert len(kept) == 5 and [r[0] for r in kept].count(8) == 1 and set(kept) <= set(rows)
+    again = [tuple(r) for r in near_dedup.drop_near_duplicates(docs.repartition(2, "source")).collect()]
+    assert sorted(again, key=str) == sorted(kept, key=str)
