@@ -12,6 +12,9 @@ slice of texts.  In a pass:
    from the others, as long as matches of ``min_match`` words remain.
 4. An item whose marked share reaches ``coverage`` is contained, in whatever
    order its passages stand.
+
+An item of fewer words than ``min_match`` has no seed; it is contained where
+its whole sequence of words stands.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .textops import hash_words, rolling, text_buffers, word_slices
+from .textops import Words, hash_words, rolling, text_buffers, word_slices
 
 #: Shortest match in words.
 MIN_MATCH = 5
@@ -38,13 +41,17 @@ BLOCK_WORDS = 1 << 20
 
 @dataclass
 class Block:
-    """Some benchmark items: their words' hashes, and the seeds in order of their hash."""
+    """Some benchmark items: their words' hashes, and the seeds in order of their hash.
+
+    ``short`` has, by number of words, the items without seeds: their hashes in order, and their places.
+    """
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
     bounds: np.ndarray
     seeds: np.ndarray
     at: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, ids: list[int | None], texts: list[str], min_match: int) -> Block:
@@ -52,12 +59,20 @@ class Block:
         w = hash_words(data, offsets, lower=True, signs=True)
         seeds, at = rolling(w.hash, w.bounds, min_match)
         order = np.argsort(seeds, kind="stable")
-        return cls(np.array(ids, np.int64), w.hash, w.bounds, seeds[order], at[order])
+        count, short = np.diff(w.bounds), {}
+        for n in range(1, min_match):
+            items = np.flatnonzero(count == n)
+            if len(items):
+                whole, first = rolling(w.hash, w.bounds, n)
+                whole = whole[np.searchsorted(first, w.bounds[items])]
+                by_hash = np.argsort(whole, kind="stable")
+                short[n] = whole[by_hash], items[by_hash]
+        return cls(ids, w.hash, w.bounds, seeds[order], at[order], short)
 
 
 def blocks(benchmark: DataFrame, min_match: int, limit: int = BLOCK_WORDS) -> Iterator[Block]:
     ids, texts, n = [], [], 0
-    for row in benchmark.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+    for row in benchmark.where("text is not null").select("item_id", "text").toLocalIterator():
         size = row.text.count(" ") + row.text.count("\n") + 1
         if ids and n + size > limit:
             yield Block.of(ids, texts, min_match)
@@ -125,7 +140,22 @@ def contained(block: Block, doc: np.ndarray, seed: np.ndarray, at: np.ndarray, s
         words = block.words[base : base + n]
         tiled = sum(x[2] for x in tile(matches(words, doc, i[a:b] - base, j[a:b], size), n, len(doc), size))
         if tiled >= coverage * n:
-            yield int(block.ids[k]), tiled, n
+            yield block.ids[k], tiled, n
+
+
+def short_items(block: Block, w: Words) -> Iterator[tuple[int, int, int]]:
+    """(text, item's place, words) of the items without seeds that stand in some texts as a whole, each pair once."""
+    for n, (whole, items) in block.short.items():
+        h, first = w.windows(n)
+        lo, hi = np.searchsorted(whole, h, "left"), np.searchsorted(whole, h, "right")
+        many = hi - lo
+        j = np.repeat(first, many)
+        k = items[np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        step = np.arange(n)
+        same = (w.hash[j[:, None] + step] == block.words[block.bounds[k][:, None] + step]).all(axis=1)
+        owner = np.searchsorted(w.bounds, j[same], "right") - 1
+        for text, item in np.unique(np.stack([owner, k[same]], 1), axis=0).tolist():
+            yield text, item, n
 
 
 def _pass(shared, size: int, coverage: float):
@@ -145,6 +175,9 @@ def _pass(shared, size: int, coverage: float):
                     new = list(contained(block, w.hash[a:b], h[own], first[own] - a, size, coverage))
                     found += new
                     rows += [i + k] * len(new)
+                for k, item, n in short_items(block, w):
+                    found.append((block.ids[item], n, n))
+                    rows.append(i + k)
             if found:
                 at = pa.array(rows)
                 columns = [pa.array(x, pa.int64()) for x in zip(*found, strict=True)]
@@ -163,10 +196,11 @@ def contaminations(
 
     ``mark`` is the xxhash64 of the text: together with doc_id it tells rows of
     one doc_id apart.  Words are runs of ASCII letters (lower-cased), digits
-    and bytes beyond ASCII, so punctuation and case don't matter.  Null and empty texts contain nothing;
-    items that are null or have fewer than ``min_match`` words are contained in
-    nothing; repeated rows and items are judged each.  A null doc_id is kept as
-    null.  Other columns are ignored, and empty tables give an empty result.
+    and bytes beyond ASCII, so punctuation and case don't matter.  Null and empty texts contain nothing,
+    and items that are null or have no words are contained in nothing.  Items of fewer than ``min_match``
+    words are contained where they stand as a whole.  An item without id is
+    judged like any other, with a null item_id.  Repeated rows and items are
+    judged each.  A null doc_id is kept as null.  Other columns are ignored, and empty tables give an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
@@ -188,7 +222,7 @@ def drop_contaminated(
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """Per row of ``docs``: doc_id, contaminated, coverage (of the item covered best), item_ids."""
+    """Per row of ``docs``: doc_id, contaminated, coverage (of the item covered best), item_ids (without nulls)."""
     found = contaminations(docs, benchmark, min_match, coverage)
     found = found.groupBy(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).agg(
         F.max(F.col("tiled") / F.col("n_words")).alias("coverage"),

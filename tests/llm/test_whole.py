@@ -48,3 +48,17 @@ def test_near_duplicates_tell_texts_of_one_doc_id_apart(spark):
     assert len(kept) == 5 and [r[0] for r in kept].count(8) == 1 and set(kept) <= set(rows)
     again = [tuple(r) for r in near_dedup.drop_near_duplicates(docs.repartition(2, "source")).collect()]
     assert sorted(again, key=str) == sorted(kept, key=str)
+
+
+def test_decontamination_by_items_without_id_or_seed(spark, monkeypatch):
+    rng = random.Random(5)
+    long = sentence(rng, 20)
+    bench = [(None, long), (None, "alpha beta"), (3, "Gamma, delta: epsilon"), (4, "zeta"), (5, "alpha beta"), (6, " .. "), (7, "")]
+    texts = [f"x {long} y", "we say ALPHA-beta, alpha beta", "gamma delta zeta epsilon", "gamma delta epsilon", "alpha", "beta alpha", None, "", "..", "zetas", sentence(rng, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    want = {k: (False, []) for k in range(len(texts))} | {0: (True, []), 1: (True, [5]), 2: (True, [4]), 3: (True, [3])}
+    assert {r.doc_id: (r.contaminated, r.item_ids) for r in decontamination.judge(docs, bench).collect()} == want
+    monkeypatch.setattr(decontamination.blocks, "__defaults__", (3,))  # few items a block
+    assert {r.doc_id: (r.contaminated, r.item_ids) for r in decontamination.judge(docs, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()) == list(range(4, len(texts)))
