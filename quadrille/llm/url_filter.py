@@ -3,7 +3,9 @@
 Everything that touches rows is a Column expression: parsing, rules, lexical
 features, and the trees, which become nested ``when`` expressions.  Boosting
 itself runs on the driver over at most ``TRAIN_ROWS`` labelled URLs, as plain
-rows; the labels are the verdicts of the rules.
+rows; the labels are the verdicts of the rules.  The blocking rates of the
+host's suffixes are a table of all suffixes that rules label, joined to the
+urls.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import saved, table
 
 #: Verdict by host and path; a rule fits its host, all subdomains, and paths that start with its path.
 RULES = {
@@ -25,8 +27,8 @@ RULES = {
     ("net", "/es/"): "block",
     ("net", "/fr/"): "block",
 }
-#: Bound of the training sample, and of the suffixes that get statistics of their own (the most frequent).
-TRAIN_ROWS, SUFFIXES = 20_000, 64
+#: Bound of the training sample, and the most suffixes whose table is broadcast; a larger one is joined by a shuffle.
+TRAIN_ROWS, BROADCAST = 20_000, 10_000
 #: Trees, their depth, the share of each tree that counts, and the candidate thresholds of a feature.
 TREES, DEPTH, RATE, CUTS = 24, 3, 0.3, 32
 #: Rows that a leaf needs, and rows' worth of the mean by which suffix statistics are smoothed.
@@ -100,18 +102,17 @@ def lexical(url: Column) -> dict[str, Column]:
 
 @dataclass
 class Model:
-    """Blocking rates of suffixes, and trees as (feature, threshold, left, right) or a leaf's value."""
+    """Blocking rates of suffixes (name, suffix_rate), and trees as (feature, threshold, left, right) or a leaf's value."""
 
-    suffixes: dict[str, float]
+    suffixes: DataFrame
     prior: float
     trees: list
     base: float
 
-    def suffix_rate(self) -> Column:
-        out = F.lit(self.prior)
-        for name, rate in self.suffixes.items():
-            out = F.when(suffix() == name, F.lit(rate)).otherwise(out)
-        return out
+    def rated(self, urls: DataFrame) -> DataFrame:
+        """``urls`` with the column suffix_rate, the mean rate where a suffix has none."""
+        out = urls.withColumn("name", suffix()).join(self.suffixes, "name", "left").drop("name")
+        return out.na.fill(self.prior, ["suffix_rate"])
 
     def score(self, features: dict[str, Column]) -> Column:
         """Probability that a URL is to be blocked."""
@@ -188,15 +189,17 @@ def fit(pages: DataFrame, rules: dict[tuple[str, str], str] = RULES, rows: int =
     known = parsed(pages, rules).where("rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("double"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.avg("y"), F.lit(0.5)).alias("rate")).first()
     by_suffix = known.groupBy(suffix().alias("name")).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-    top = by_suffix.orderBy(F.desc("n"), "name").limit(SUFFIXES).collect()
-    rates = {r.name: (r.blocked + PRIOR * total.rate) / (r.n + PRIOR) for r in top}
+    rate = (F.col("blocked") + F.lit(PRIOR * total.rate)) / (F.col("n") + F.lit(PRIOR))
+    rates = saved(by_suffix.select("name", rate.alias("suffix_rate")), "suffixes")
+    if len(rates.select("name").take(BROADCAST + 1)) <= BROADCAST:
+        rates = F.broadcast(rates)
     model = Model(rates, total.rate, [], 0.0)
     share = rows / max(1, total.n)
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    features = {**lexical(F.col("url")), "suffix_rate": model.suffix_rate()}
+    features = {**lexical(F.col("url")), "suffix_rate": F.col("suffix_rate")}
     names = list(features)
-    sample = known.select(*[c.cast("double").alias(n) for n, c in features.items()], "y").limit(rows).collect()
+    sample = model.rated(known).select(*[c.cast("double").alias(n) for n, c in features.items()], "y").limit(rows).collect()
     data = np.array([tuple(r) for r in sample], np.float64).reshape(-1, len(names) + 1)
     data = data[np.lexsort(data.T)]  # whatever order rows came in
     model.trees, model.base = boost(data[:, :-1], data[:, -1], names)
@@ -211,9 +214,9 @@ def judge(pages: DataFrame, model: Model, rules: dict[tuple[str, str], str] = RU
     ``://`` has an empty host and path and no rule.  Ids are only carried, so
     nulls and repeats of them don't matter; other columns are ignored.
     """
-    score = model.score({**lexical(F.col("url")), "suffix_rate": model.suffix_rate()})
+    score = model.score({**lexical(F.col("url")), "suffix_rate": F.col("suffix_rate")})
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    out = parsed(pages, rules).withColumn("score", score)
+    out = model.rated(parsed(pages, rules)).withColumn("score", score)
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quadrille.llm import decontamination, near_dedup, quality, url_filter
 
@@ -62,3 +63,14 @@ def test_decontamination_by_items_without_id_or_seed(spark, monkeypatch):
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (3,))  # few items a block
     assert {r.doc_id: (r.contaminated, r.item_ids) for r in decontamination.judge(docs, bench).collect()} == want
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()) == list(range(4, len(texts)))
+
+
+@pytest.mark.parametrize("limit", [10_000, 10])
+def test_url_suffixes_have_all_their_own_rate(spark, monkeypatch, limit):
+    monkeypatch.setattr(url_filter, "BROADCAST", limit, raising=False)
+    rules = {(f"s{k}", "/"): "block" if k % 2 else "allow" for k in range(150)}
+    urls = [f"http://h{n}.s{k}/" for k in range(150) for n in range(4)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, url_filter.fit(pages, rules), {}).collect()
+    assert len(got) == len(urls)
+    assert all((r.score > 0.5) == (int(r.host.split(".s")[1]) % 2 == 1) for r in got)
