@@ -30,6 +30,61 @@ class Field:
     def keys(self) -> list[str]:
         return [*self.batch, *self.grid.keys]
 
+    # --- what it is ---
+
+    @property
+    def is_staggered(self) -> bool:
+        """Whether the rows are faces (they have a column axis)."""
+        return "axis" in self.df.columns
+
+    @property
+    def is_centered(self) -> bool:
+        return not self.is_staggered
+
+    #: Other kinds of data are DataFrames of their own: point clouds, graphs and meshes are no fields of a lattice.
+    is_grid, is_mesh, is_graph, is_point_cloud = True, False, False, False
+
+    @property
+    def sampled_at(self) -> str:
+        return "face" if self.is_staggered else "center"
+
+    @property
+    def boundary(self) -> dict:
+        return self.grid.boundary
+
+    extrapolation = boundary
+
+    @property
+    def boundary_names(self) -> list[str]:
+        return self.grid.boundary_names
+
+    @property
+    def resolution(self) -> dict[str, int]:
+        return self.grid.resolution
+
+    @property
+    def spatial_rank(self) -> int:
+        return self.grid.rank
+
+    @property
+    def cells(self) -> DataFrame:
+        """One row a cell with its corners."""
+        rows = lattice(self.df.sparkSession, self.grid)
+        g = self.grid
+        low = {f"lower_{a}": F.lit(g.lower[a]) + F.col(f"i{a}") * F.lit(g.dx[a]) for a in g.axes}
+        return rows.withColumns({**low, **{f"upper_{a}": low[f"lower_{a}"] + F.lit(g.dx[a]) for a in g.axes}})
+
+    def sampled_elements(self) -> DataFrame:
+        """Where the values are: indices (and axis) with positions."""
+        from .operators.fluid import face_centers
+
+        spot = face_centers(self.grid) if self.is_staggered else centers(self.grid)
+        keys = ["axis", *self.grid.keys] if self.is_staggered else self.grid.keys
+        return self.df.select(*self.batch, *keys, *[c.alias(a) for a, c in spot.items()])
+
+    def points(self) -> DataFrame:
+        return self.sampled_elements()
+
     # --- making and changing ---
 
     @classmethod

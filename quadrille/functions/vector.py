@@ -86,6 +86,85 @@ def rotate_axis(a: Vector, axis: Vector, angle) -> Vector:
     return {k: lit(a[k]) * c + side[k] * s + lit(axis[k]) * along * (1 - c) for k in a}
 
 
+Matrix = dict[str, Vector]  # rows by axis
+
+
+def unit_matrix(axes: tuple[str, ...] = ("x", "y", "z")) -> Matrix:
+    return {a: {b: F.lit(float(a == b)) for b in axes} for a in axes}
+
+
+def apply_matrix(m: Matrix, a: Vector, invert: bool = False) -> Vector:
+    """The vector turned by a rotation matrix, or back by its transpose."""
+    return {k: dot({j: m[j][k] for j in m}, a) if invert else dot(m[k], a) for k in m}
+
+
+def times(m: Matrix, n: Matrix) -> Matrix:
+    """The matrix that applies ``n`` and then ``m``."""
+    return {i: {k: dot(m[i], {j: n[j][k] for j in n}) for k in n} for i in m}
+
+
+def rotation_about(axis: Vector, angle) -> Matrix:
+    """The rotation about an axis (a unit vector): its columns are the unit vectors turned."""
+    units = unit_matrix()
+    turned = {b: rotate_axis(units[b], axis, angle) for b in units}
+    return {a: {b: turned[b][a] for b in units} for a in units}
+
+
+def rotation_matrix(angle) -> Matrix:
+    """By an angle in the plane; in space by a vector along the axis that is as long as the angle."""
+    if not isinstance(angle, dict):
+        c, s = F.cos(lit(angle)), F.sin(lit(angle))
+        return {"x": {"x": c, "y": -s}, "y": {"x": s, "y": c}}
+    return rotation_about(normalize(angle), length(angle))
+
+
+def euler_matrix(angles: Vector) -> Matrix:
+    """About x first, then y, then z, by the angles of these names."""
+    about = {a: rotation_about(unit_matrix()[a], angles[a]) for a in ("x", "y", "z")}
+    return times(about["z"], times(about["y"], about["x"]))
+
+
+def rotation_angles(m: Matrix) -> Column | Vector:
+    """The angle of a rotation in the plane; in space angles for ``euler_matrix`` (one of the solutions)."""
+    if len(m) == 2:
+        return F.atan2(m["y"]["x"], m["x"]["x"])
+    sine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -m["z"]["x"]))
+    # looking along x, the angles about x and z turn the same way; all of it is given to z
+    locked = F.abs(sine) > 1 - 1e-12
+    return {
+        "x": F.when(locked, 0.0).otherwise(F.atan2(m["z"]["y"], m["z"]["z"])),
+        "y": F.asin(sine),
+        "z": F.when(locked, F.atan2(-m["x"]["y"], m["y"]["y"])).otherwise(F.atan2(m["y"]["x"], m["x"]["x"])),
+    }
+
+
+def rotation_matrix_between(a: Vector, b: Vector) -> Matrix:
+    """The rotation that takes direction ``a`` to ``b``."""
+    return rotation_about(*rotation_between(a, b))
+
+
+def matching_rotations(*matrices: Matrix | None) -> list[Matrix | None]:
+    """Unit matrices for those that are missing, unless all are."""
+    some = next((m for m in matrices if m is not None), None)
+    return [m if m is not None or some is None else unit_matrix(tuple(some)) for m in matrices]
+
+
+def normal_from_slope(slope: Vector, up: str) -> Vector:
+    """Unit normal, upwards, of the line or plane that rises along ``up`` by the slopes of the other axes."""
+    return normalize({**{a: -lit(s) for a, s in slope.items()}, up: F.lit(1.0)})
+
+
+def plane_from_slope(slope: Vector, up: str, point: Vector) -> tuple[Vector, Column]:
+    """Unit normal and offset of the plane of these slopes through a point."""
+    normal = normal_from_slope(slope, up)
+    return normal, dot(normal, {a: point[a] for a in normal})
+
+
+def height_at_zero(slope, x, y) -> Column:
+    """Where the line of a slope through (x, y) meets the axis x = 0."""
+    return lit(y) - lit(slope) * lit(x)
+
+
 def angle_between(a: Vector, b: Vector) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), divide(dot(a, b), length(a) * length(b)))))
 

@@ -167,6 +167,20 @@ class Grid:
             return 0, n
         return (0 if lo.stores_outer_face else 1), n + (1 if hi.stores_outer_face else 0)
 
+    @property
+    def rank(self) -> int:
+        return len(self.resolution)
+
+    @property
+    def boundary_names(self) -> list[str]:
+        """Names of the sides, like ``x-``; a periodic axis has none."""
+        return [f"{a}{s}" for a, pair in self.boundary.items() for s, b in zip("-+", pair, strict=True) if b.kind != "periodic"]
+
+    def determines_boundary_values(self, side: str) -> bool:
+        """Whether the rule of a side (``x-``) fixes the outer faces, so that they are not stored."""
+        rule = self.boundary[side[:-1]][side[-1] == "+"]
+        return not rule.stores_outer_face
+
     def same_lattice(self, other: Grid) -> bool:
         return (self.resolution, self.lower, self.upper) == (other.resolution, other.lower, other.upper)
 
@@ -176,3 +190,9 @@ def margin_resolution(width: dict[str, float], voxels: int, margin_cells: int =
     rank = len(width)
     side = (prod(width.values()) / voxels) ** (1 / rank)
     return {a: max(1, round(w / side)) + 2 * margin_cells for a, w in width.items()}
+
+
+def assert_same_rank(a: Grid | int, b: Grid | int, message: str = "ranks differ") -> None:
+    first, second = (x.rank if isinstance(x, Grid) else x for x in (a, b))
+    if first != second:
+        raise ValueError(f"{message}: {first} and {second}")

@@ -42,6 +42,29 @@ class Geometry:
     def bounds(self) -> tuple[dict[str, float], dict[str, float]]:
         raise NotImplementedError
 
+    def rotated(self, angle: float) -> Geometry:
+        """Turned about its center; round shapes stay."""
+        return self
+
+    def bounding_sphere(self) -> Sphere:
+        """The ball around the bounding box."""
+        low, high = self.bounds()
+        middle = {a: (low[a] + high[a]) / 2 for a in low}
+        return Sphere(middle, sum((high[a] - low[a]) ** 2 for a in low) ** 0.5 / 2)
+
+    def shallow_equals(self, other: Geometry) -> bool:
+        """Equality by what shapes are made of, without looking at points."""
+        return type(self) is type(other) and self == other
+
+    def unstack(self) -> tuple[Geometry, ...]:
+        return getattr(self, "parts", (self,))
+
+    def weighted_center(self) -> dict[str, float]:
+        """Of several shapes, their centers weighted by volume."""
+        parts = self.unstack()
+        total = sum(g.volume for g in parts)
+        return {a: sum(g.center[a] * g.volume for g in parts) / total for a in parts[0].center}
+
     def __or__(self, other: Geometry) -> Geometry:
         return Union((self, other))
 

@@ -192,11 +192,52 @@ def filter_unused(mesh: Mesh) -> Mesh:
 
 
 def join_meshes(a: Mesh, b: Mesh, vertex_offset: int, element_offset: int) -> Mesh:
-    """Both meshes as one; the second's ids are moved by the offsets."""
+    """Both meshes as one, with the boundaries of both; the second's ids are moved by the offsets.
+
+    If one of them names no boundaries, its rim is ``outer`` like that of any mesh without names.
+    """
     moved = F.transform("vids", lambda v: v + vertex_offset)
     vertices = a.vertices.unionByName(b.vertices.withColumn("vid", F.col("vid") + vertex_offset))
     elements = a.elements.unionByName(b.elements.select((F.col("eid") + element_offset).alias("eid"), moved.alias("vids")))
-    return Mesh(vertices, elements)
+    moved_rim = b.boundaries and b.boundaries.select("name", (F.col("v1") + vertex_offset).alias("v1"), (F.col("v2") + vertex_offset).alias("v2"))
+    rims = [r for r in (a.boundaries, moved_rim) if r is not None]
+    return Mesh(vertices, elements, rims[0].unionByName(rims[1]) if len(rims) == 2 else rims[0] if rims else None)
+
+
+def bounds(mesh: Mesh) -> DataFrame:
+    """One row with the least and greatest coordinates of the vertices."""
+    from .aggregate import bounding_box
+
+    return bounding_box(mesh.vertices, ("x", "y"))
+
+
+def distance_matrix(mesh: Mesh, face_rows: DataFrame) -> DataFrame:
+    """(eid, nb, distance) of the centers of neighbouring elements."""
+    centre = geometry(mesh).select("eid", "cx", "cy")
+    pairs = cell_connectivity(face_rows).join(centre.toDF("eid", "_ax", "_ay"), "eid").join(centre.toDF("nb", "_bx", "_by"), "nb")
+    return pairs.select("eid", "nb", F.sqrt((F.col("_bx") - F.col("_ax")) ** 2 + (F.col("_by") - F.col("_ay")) ** 2).alias("distance"))
+
+
+def least_squares_gradient(mesh: Mesh, face_rows: DataFrame, values: DataFrame, rules: dict, value: str = "v") -> DataFrame:
+    """(eid, dx, dy): the slope that fits the differences to all neighbours best, nearer ones counting more.
+
+    Weights are one over the squared distance; across the rim the face's value and center count.
+    """
+    centre = geometry(mesh).select("eid", "cx", "cy")
+    sides = neighbour_values(face_rows, values, rules, value).join(centre.toDF("eid", "_ax", "_ay"), "eid")
+    rows = sides.join(centre.toDF("nb", "_bx", "_by"), "nb", "left")
+    dx, dy = F.coalesce("_bx", "cx") - F.col("_ax"), F.coalesce("_by", "cy") - F.col("_ay")
+    rows = rows.select("eid", dx.alias("_dx"), dy.alias("_dy"), (F.col("other") - F.col("own")).alias("_dv"))
+    w = 1 / (F.col("_dx") ** 2 + F.col("_dy") ** 2)
+    total = lambda c: F.sum(w * c)
+    x, y, v = F.col("_dx"), F.col("_dy"), F.col("_dv")
+    sums = rows.groupBy("eid").agg(
+        total(x * x).alias("xx"), total(x * y).alias("xy"), total(y * y).alias("yy"), total(x * v).alias("xv"), total(y * v).alias("yv")
+    )
+    from ..functions.vector import solve2x2
+
+    gx, gy = solve2x2(F.col("xx"), F.col("xy"), F.col("xy"), F.col("yy"), F.col("xv"), F.col("yv"))
+    return sums.select("eid", gx.alias("dx"), gy.alias("dy"))
 
 
 def sample_nearest(mesh: Mesh, values: DataFrame, gradient: DataFrame, points: DataFrame, radius: float, value: str = "v") -> DataFrame:

@@ -55,30 +55,61 @@ def advect_points(points: DataFrame, field: DataFrame, grid: Grid, components: d
     return out.withColumns({a: F.col(f"new_{a}") for a in grid.axes}).drop(*[f"new_{a}" for a in grid.axes])
 
 
+def _origins(df: DataFrame, grid: Grid, components: dict[str, str], dt: float, integrator: str, name: str) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """Where cells' centers get to in ``dt``: rows with helper columns, the positions, and the helpers' names."""
+    if integrator == "euler":
+        return df, {a: c + F.col(components[a]) * dt for a, c in centers(grid).items()}, []
+    kept = {a: f"{name}{a}" for a in grid.axes}
+    start = df.withColumns({a: c for a, c in centers(grid).items()})
+    moved = trace(start, df.select(*grid.keys, *components.values()), grid, components, dt, integrator)
+    moved = moved.withColumns({kept[a]: F.col(f"new_{a}") for a in grid.axes}).drop(*grid.axes, *[f"new_{a}" for a in grid.axes])
+    return moved, {a: F.col(c) for a, c in kept.items()}, list(kept.values())
+
+
 def semi_lagrangian(
-    df: DataFrame, grid: Grid, values: list[str], components: dict[str, str], dt: float, bounds: bool = False, suffix: str = ""
-) -> DataFrame:
-    """Values at the places that the velocity (columns of the same rows) comes from; other columns stay."""
-    back = {a: c - F.col(components[a]) * dt for a, c in centers(grid).items()}
-    return interpolate(df, df.select(*grid.keys, *values), grid, values, back, suffix, bounds)
+    df: DataFrame, grid: Grid, values: list[str], components: dict[str, str], dt: float, bounds: bool = False, suffix: str = "",
+    integrator: str = "euler",
+) -> DataFrame:
+    """Values at the places that the velocity (columns of the same rows) comes from; other columns stay.
+
+    The way back is traced by an integrator of ``trace``.
+    """
+    rows, back, helpers = _origins(df, grid, components, -dt, integrator, "_back_")
+    return interpolate(rows, df.select(*grid.keys, *values), grid, values, back, suffix, bounds).drop(*helpers)
 
 
-def mac_cormack(df: DataFrame, grid: Grid, value: str, components: dict[str, str], dt: float, strength: float = 1.0) -> DataFrame:
+def mac_cormack(
+    df: DataFrame, grid: Grid, value: str, components: dict[str, str], dt: float, strength: float = 1.0, integrator: str = "euler"
+) -> DataFrame:
     """Semi-Lagrangian step with its error corrected, limited to the values around the origin."""
-    there = semi_lagrangian(df, grid, [value], components, dt, True, "_f")
+    there = semi_lagrangian(df, grid, [value], components, dt, True, "_f", integrator)
     forward = there.select(*grid.keys, F.col(f"{value}_f").alias("_v"))
-    ahead = {a: c + F.col(components[a]) * dt for a, c in centers(grid).items()}
-    both = interpolate(there, forward, grid, ["_v"], ahead, "_b")
+    rows, ahead, helpers = _origins(there, grid, components, dt, integrator, "_ahead_")
+    both = interpolate(rows, forward, grid, ["_v"], ahead, "_b").drop(*helpers)
     fixed = F.col(f"{value}_f") + (F.col(value) - F.col("_v_b")) * (0.5 * strength)
     limited = F.greatest(F.col(f"{value}_f_min"), F.least(fixed, F.col(f"{value}_f_max")))
     return both.withColumn(value, limited).drop(f"{value}_f", f"{value}_f_min", f"{value}_f_max", "_v_b")
 
 
-def advection_rate(df: DataFrame, grid: Grid, value: str, components: dict[str, str], out: str = "rate") -> DataFrame:
-    """-u . grad(value) by central differences."""
-    from .stencil import gradient
-
-    near = gradient(df.select(*grid.keys, value), grid, value).drop(value)
+def advect(
+    df: DataFrame, velocity: DataFrame, grid: Grid, components: dict[str, str], dt: float, values: list[str] | None = None, integrator: str = "euler"
+) -> DataFrame:
+    """Points (rows with columns x, y, z) move along the velocity; lattice rows take the values that arrive (semi-Lagrangian)."""
+    if set(grid.axes) <= set(df.columns):
+        return advect_points(df, velocity, grid, components, dt, integrator)
+    own = values or [c for c in df.columns if c not in (*grid.keys, *components.values())]
+    if not set(components.values()) <= set(df.columns):
+        df = df.join(velocity.select(*grid.keys, *components.values()), grid.keys)
+    out = semi_lagrangian(df, grid, own, components, dt, False, "_new", integrator)
+    return out.withColumns({v: F.col(f"{v}_new") for v in own}).drop(*[f"{v}_new" for v in own])
+
+
+def advection_rate(df: DataFrame, grid: Grid, value: str, components: dict[str, str], out: str = "rate", order: int = 2, compact: bool = False) -> DataFrame:
+    """-u . grad(value) by central differences of an order, or by the compact scheme of order 6."""
+    from .stencil import compact_gradient, gradient
+
+    rows = df.select(*grid.keys, value)
+    near = (compact_gradient(rows, grid, value) if compact else gradient(rows, grid, value, order=order)).drop(value)
     rate = sum((F.col(v) * F.col(f"d{a}") for a, v in components.items()), F.lit(0.0))
     return df.join(near, grid.keys).withColumn(out, -rate).drop(*[f"d{a}" for a in components])
 
@@ -118,8 +149,17 @@ def diffusion_rate(df: DataFrame, grid: Grid, value: str, diffusivity: str, out:
 
 
 def diffuse_implicit(df: DataFrame, grid: Grid, diffusivity: float, dt: float, value: str = "v", relative: float = 1e-6) -> DataFrame:
-    """Backward Euler: solves (1 - dt D laplace) u = value by conjugate gradients (for boundaries without a value)."""
-    rows = df.select(*grid.keys, F.col(value).alias("b"))
+    """Backward Euler: solves (1 - dt D laplace) u = value by conjugate gradients.
+
+    A constant boundary other than 0 is a known neighbour, so its share goes to the right side.
+    """
+    known = F.lit(0.0)
+    for a, n in grid.resolution.items():
+        for at, rule in zip((0, n - 1), grid.boundary[a], strict=True):
+            if rule.kind == "constant" and rule.value:
+                share = dt * diffusivity * rule.value / grid.dx[a] ** 2
+                known = known + F.when(F.col(f"i{a}") == at, F.lit(share)).otherwise(0.0)
+    rows = df.select(*grid.keys, (F.col(value) + known).alias("b"))
     return solve.solve_lattice(rows, grid, "b", value, 1.0, dt * diffusivity, relative)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..meta import Grid
+from .tiles import shifted
 
 #: Largest lattice that one worker may hold as an array: 2^22 cells are 32 MB of doubles.
 KERNEL_CELLS = 1 << 22
@@ -27,6 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     where = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
@@ -145,6 +148,9 @@ def solve_lattice(
     if not (fits_worker(grid) if distributed is None else not distributed):
         from .stencil import laplace
 
+        if batch:
+            raise ValueError("a lattice beyond one worker is solved without batch columns; solve its slices one by one")
+
         zero = grid.map_boundary(lambda b: b.map(lambda _: 0.0))
 
         def apply(rows: DataFrame, column: str, name: str) -> DataFrame:
@@ -157,6 +163,87 @@ def solve_lattice(
     return grid_kernel(df, grid, lambda b: solve_array(b, grid, alpha, beta, relative, iterations, project), right, out, batch)
 
 
+def masked_laplace(df: DataFrame, grid: Grid, value: str, out: str, active: str = "active") -> DataFrame:
+    """Divergence of the gradient through open faces: per axis, open_lo_<axis> and open_hi_<axis> (0 or 1) say which are.
+
+    ``grid`` carries the value's boundary.  Where ``active`` is 0 the value itself is returned.
+    """
+    near = shifted(df, grid, {f"_{s}{a}": (value, a, o) for a in grid.axes for s, o in (("m", -1), ("p", 1))})
+    total = F.lit(0.0)
+    for a in grid.axes:
+        up = F.col(f"open_hi_{a}") * (F.col(f"_p{a}") - F.col(value))
+        down = F.col(f"open_lo_{a}") * (F.col(value) - F.col(f"_m{a}"))
+        total = total + (up - down) / F.lit(grid.dx[a] ** 2)
+    names = [f"_{s}{a}" for a in grid.axes for s in "mp"]
+    return near.withColumn(out, F.when(F.col(active) != 0, total).otherwise(F.col(value))).drop(*names)
+
+
+def masked_array(a: np.ndarray, grid: Grid, opened: dict[str, np.ndarray], active: np.ndarray) -> np.ndarray:
+    """``masked_laplace`` of an array, constants of the boundary taken as 0; 0 where not active."""
+    out = np.zeros_like(a)
+    for k, axis in enumerate(grid.axes):
+        lo, hi = grid.boundary[axis]
+        first, last = np.take(a, [0], k), np.take(a, [a.shape[k] - 1], k)
+        below = {"periodic": last, "edge": first}.get(lo.kind, np.zeros_like(first))
+        above = {"periodic": first, "edge": last}.get(hi.kind, np.zeros_like(last))
+        step = np.diff(np.concatenate([below, a, above], k), axis=k)
+        up, down = np.take(step, range(1, a.shape[k] + 1), k), np.take(step, range(a.shape[k]), k)
+        out += (opened[f"open_hi_{axis}"] * up - opened[f"open_lo_{axis}"] * down) / grid.dx[axis] ** 2
+    return np.where(active != 0, out, 0.0)
+
+
+def _masked_kernel(grid: Grid, right: str, out: str, active: str, relative: float, iterations: int):
+    keys, shape = grid.keys, tuple(grid.resolution.values())
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = tuple(rows[k].to_numpy() for k in keys)
+
+        def whole(name: str) -> np.ndarray:
+            a = np.zeros(shape)
+            a[at] = rows[name].to_numpy(float)
+            return a
+
+        opened = {f"open_{s}_{a}": whole(f"open_{s}_{a}") for a in grid.axes for s in ("lo", "hi")}
+        mask = whole(active)
+        r = np.where(mask != 0, -whole(right), 0.0)
+        x, p, rr = np.zeros(shape), r.copy(), float((r * r).sum())
+        goal, k = max(relative**2 * rr, 1e-24), 0
+        while rr > goal:
+            if k == iterations:
+                raise NotConverged(f"residual {rr**0.5:.3g} after {k} iterations")
+            q = -masked_array(p, grid, opened, mask)
+            step = rr / float((p * q).sum())
+            x, r = x + step * p, r - step * q
+            new = float((r * r).sum())
+            p, rr, k = r + (new / rr) * p, new, k + 1
+        return rows.drop(columns=["_all"]).assign(**{out: x[at]})
+
+    return run
+
+
+def solve_masked(
+    df: DataFrame, grid: Grid, right: str = "b", out: str = "x", active: str = "active", relative: float = 1e-6, iterations: int = 2000,
+    distributed: bool | None = None,
+) -> DataFrame:
+    """Solve ``masked_laplace x = b`` where ``active`` is not 0; x is 0 elsewhere.
+
+    A lattice that fits a worker is solved there, a larger one by distributed
+    conjugate gradients; the right side must be consistent (mean 0 over active
+    cells of a closed domain).
+    """
+    if fits_worker(grid) if distributed is None else not distributed:
+        run = _masked_kernel(grid, right, out, active, relative, iterations)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(run, f"{schema}, {out} double")
+    rows = df.withColumn("_b", F.when(F.col(active) != 0, -F.col(right)).otherwise(0.0))
+
+    def apply(state: DataFrame, column: str, name: str) -> DataFrame:
+        near = masked_laplace(state, grid, column, name, active)
+        return near.withColumn(name, F.when(F.col(active) != 0, -F.col(name)).otherwise(F.col(name)))
+
+    return conjugate_gradients(rows, apply, "_b", out, relative, 1e-12, iterations).drop("_b")
+
+
 def frequencies(grid: Grid) -> np.ndarray:
     """Squared wave numbers (2 pi k)^2 of the discrete Fourier transform of a lattice."""
     axes = [2 * np.pi * np.fft.fftfreq(n, grid.dx[a]) for a, n in grid.resolution.items()]
@@ -191,12 +278,3 @@ def noise(df: DataFrame, grid: Grid, scale: float = 10.0, smoothness: float = 1.
         return x - x.mean()
 
     return grid_kernel(df.withColumn(out, F.lit(0.0)), grid, draw, out)
-
-
-def compact_faces(line: np.ndarray) -> np.ndarray:
-    """Values of a periodic line half a cell farther, by the sixth-order compact scheme (its fixed weights are below)."""
-    n = len(line)
-    # fixed values: left side 3/10, 1, 3/10; right side 1/20, 3/4, 3/4, 1/20
-    left = np.eye(n) + 0.3 * (np.roll(np.eye(n), 1, 1) + np.roll(np.eye(n), -1, 1))
-    right = 0.75 * (line + np.roll(line, -1)) + 0.05 * (np.roll(line, 1) + np.roll(line, -2))
-    return np.linalg.solve(left, right)

@@ -19,12 +19,14 @@ from ..operators.mesh import Mesh
 #: Rows of all kinds: a vertex has coordinates, an element or boundary edge has vertex ids and maybe a name.
 SCHEMA = "file string, kind string, id long, x double, y double, z double, vids array<long>, name string"
 
+#: VTK types of solids, and Gmsh types of solids.
+SU2_SOLIDS, GMSH_SOLIDS = (10, 12, 13, 14), (4, 5, 6, 7)
 #: Vertices of element types 1 to 5 and 15 of the Gmsh format.
 GMSH_SIZES = {1: 2, 2: 3, 3: 4, 4: 4, 5: 8, 15: 1}
 
 
 def parse_su2(raw: bytes) -> Iterator[tuple]:
-    """(kind, id, x, y, z, vids, name) from SU2 text; markers are boundary edges."""
+    """(kind, id, x, y, z, vids, name) from SU2 text; markers are boundary edges. Solids are refused."""
     lines = [x.split("%", 1)[0].strip() for x in raw.decode().splitlines()]
     rank, k, marker = 2, 0, None
     while k < len(lines):
@@ -36,6 +38,8 @@ def parse_su2(raw: bytes) -> Iterator[tuple]:
             for n in range(int(value)):
                 # type, vertices, and maybe a number at the end
                 numbers = [int(x) for x in lines[k].split()]
+                if numbers[0] in SU2_SOLIDS:
+                    raise ValueError("meshes of solids are not supported: their faces are no edges")
                 size = {3: 2, 5: 3, 9: 4, 10: 4, 12: 8, 13: 6, 14: 5}[numbers[0]]  # fixed VTK element types
                 yield ("element" if key == "NELEM" else "boundary", n, None, None, None, numbers[1 : 1 + size], marker if key != "NELEM" else None)
                 k += 1
@@ -61,6 +65,8 @@ def parse_gmsh(raw: bytes) -> Iterator[tuple]:
     count = {"element": 0, "boundary": 0}
     for line in sections.get("Elements", [])[1:]:
         v = [int(x) for x in line.split()]
+        if v[1] in GMSH_SOLIDS:
+            raise ValueError("meshes of solids are not supported: their faces are no edges")
         size = GMSH_SIZES[v[1]]
         if size == 1:
             continue

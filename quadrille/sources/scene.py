@@ -80,6 +80,52 @@ class Scene:
         out.write(bytearray(text.encode()))
         out.close()
 
+    # --- text, logs and sources ---
+
+    def subpath(self, name: str, create: bool = False) -> str:
+        """The path of a file or folder in the scene; with ``create``, the folder is made."""
+        if create:
+            self._fs().mkdirs(self._path(name))
+        return f"{self.path}/{name}"
+
+    def _write_text(self, text: str, *parts: str) -> None:
+        out = self._fs().create(self._path(*parts), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def log(self, *lines: str, name: str = "info") -> None:
+        """Lines appended to a log: each call is a file of its own, so calls from anywhere do not meet."""
+        import time
+
+        self._write_text("".join(f"{x}\n" for x in lines), "log", name, f"{time.time_ns():020d}.txt")
+
+    def log_lines(self, name: str = "info") -> DataFrame:
+        """(file, value) of a log's lines."""
+        return self.spark.read.text(self.subpath(f"log/{name}")).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+
+    def scalar_curve_names(self) -> list[str]:
+        """Names of the scalar logs (files or folders log_<name>.txt)."""
+        found = [s.getPath().getName() for s in self._fs().listStatus(self._path())] if self.exists() else []
+        return sorted(n[4:-4] for n in found if n.startswith("log_") and n.endswith(".txt"))
+
+    def copy_src_text(self, name: str, text: str) -> None:
+        """A program's text beside the data it made."""
+        self._write_text(text, "src", name)
+
+    def copy_src(self, script: str) -> None:
+        """A copy of a local script."""
+        with open(script, encoding="utf-8") as f:
+            self.copy_src_text(script.rsplit("/", 1)[-1], f.read())
+
+    def copy_calling_script(self) -> None:
+        """A copy of the script that calls this method, if it is a file."""
+        import inspect
+        import os
+
+        caller = inspect.stack()[1].filename
+        if os.path.isfile(caller):
+            self.copy_src(caller)
+
     # --- fields ---
 
     def write(self, name: str, frame: int, df: DataFrame) -> None:

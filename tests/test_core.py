@@ -249,7 +249,6 @@ def test_spectral(spark):
     assert np.allclose(array(solve.fourier_poisson(df, g), g), -a / 5)
     draw = array(solve.noise(df, g, seed=1), g)
     assert abs(draw.mean()) < 1e-9 and draw.std() == pytest.approx(1) and not np.allclose(draw, array(solve.noise(df, g, seed=2), g))
-    assert np.allclose(solve.compact_faces(np.sin(x)), np.sin(x + pi / n), atol=1e-5)
 
 
 def test_shapes(spark):
