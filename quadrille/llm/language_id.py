@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_arrow, table
 from .textops import slices, text_buffers
 
 #: Embeddings and their width.
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         known = known.where(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)))
     ids = known.select("doc_id").distinct().orderBy(pick, "doc_id").limit(rows)
     known = known.join(F.broadcast(ids), "doc_id").select("lang", "text").limit(2 * rows)  # at most ``rows`` ids
-    found = known.mapInArrow(_features, "lang string, buckets binary, shares binary").collect()
+    found = map_arrow(known, _features, "lang string, buckets binary, shares binary").collect()
     languages = sorted({r.lang for r in found}) or [UNKNOWN]
     labels = np.array([languages.index(r.lang) for r in found], np.int64)
     # whatever order rows came in
@@ -229,8 +229,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(
-        _predict(shared), f"doc_id {kind}, lang_pred string, score double, accepted boolean"
+    out = map_arrow(
+        docs.select("doc_id", "text"), _predict(shared), f"doc_id {kind}, lang_pred string, score double, accepted boolean"
     )
     held_out = F.coalesce(~in_training_fold(), F.lit(False)).alias("held_out")
     return out.select("doc_id", held_out, "lang_pred", "score", "accepted")

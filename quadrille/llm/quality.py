@@ -15,6 +15,7 @@ over all passages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import bound_batches, give_back, map_arrow, table
 from .textops import seeds, word_slices
 
 #: Words in a passage.
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     pairs = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` ids
-    found = pairs.mapInArrow(_features, "label int, features binary")
+    found = map_arrow(pairs, _features, "label int, features binary")
     found = found.limit(rows).collect()
     found.sort(key=lambda r: (r.label, bytes(r.features)))  # whatever order rows came in
     xs = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH) for r in found]
@@ -245,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(_scores(shared), f"doc_id {kind}, score double")
+    out = map_arrow(docs.select("doc_id", "text"), _scores(shared), f"doc_id {kind}, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -255,15 +256,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model predicts as label 1, all columns unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
-    at = schema.names.index("text")
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(_in_blocks(shared.value, batch.column(at)) >= THRESHOLD))
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array(_in_blocks(shared.value, column) >= THRESHOLD if len(column) else [], pa.bool_())
+        give_back()
 
-    return docs.mapInArrow(run, schema)
+    bound_batches(docs.sparkSession)
+    return docs.where(F.arrow_udf(good, "boolean")("text"))  # only texts and marks pass Python
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,23 +6,59 @@ recomputation of everything before.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes and rows of an Arrow batch at most; a longer text is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a local one is set."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and there is one machine, as in tests, a local one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what they keep adds to the next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session are bounded; smaller bounds of its own stay."""
+    conf = spark.conf
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, whose workers keep no freed memory after a task."""
+    bound_batches(df.sparkSession)
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -47,10 +83,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` (or name given earlier) has."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """Aggregated rows without the partitioning that the aggregation left.
 
     A join on ``key`` then shuffles both sides, and adaptive execution may
     split a key that very many rows of the other side share.
     """
-    return df.withColumn(key, F.col(key).cast("string").cast("long"))
+    again = F.unhex(F.hex(key)) if dict(df.dtypes)[key] == "binary" else F.col(key).cast("string").cast("long")
+    return df.withColumn(key, again)

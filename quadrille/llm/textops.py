@@ -3,7 +3,8 @@
 Words are maximal runs of bytes other than space and tab..carriage return,
 read straight from the UTF-8 buffer of an Arrow column, so no Python string is
 made for any of them.  A batch is walked in slices of bounded size; a single
-text longer than a slice forms a slice of its own.
+text longer than a slice forms a slice of its own, hashed in stretches that end
+at gaps, so beyond its words (24 bytes each) it needs no more memory.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds the working memory of one task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -115,26 +116,57 @@ def rolling(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     return mix((total[first + n] - total[first]) * down[first]), first
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False) -> Words:
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hashes of the spans ``[start, end)`` of a sequence, which may differ in length."""
+    m = len(hashes)
+    up, down = _WORDS.get(m + 1)
+    total = np.zeros(m + 1, np.uint64)
+    np.cumsum(hashes * up[:m], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the spans ``[start, end)`` of some bytes."""
+    n = len(data)
+    up, down = _BYTES.get(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_CODES[lower][data] * up[:n], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool, signs: bool = False, stretch: int = 2 * SLICE_BYTES) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``offsets`` starts at 0."""
+    gaps = _SIGNS if signs else _SPACE
+    parts, a, n = [], 0, len(data)
+    while not parts or a < n:
+        b = min(n, a + stretch)
+        step = 1024
+        while b < n and not gaps[data[b]]:  # on to the next gap
+            near = np.flatnonzero(gaps[data[b : b + step]])
+            b = b + int(near[0]) if len(near) else min(n, b + step)
+            step *= 2
+        h, start, end = _hash_stretch(data[a:b], np.unique(np.clip(offsets, a, b)) - a, lower, gaps)
+        parts.append((h, start + a, end + a))
+        a = b
+    h, start, end = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+    return Words(data, h, start, end, np.searchsorted(start, offsets).astype(np.int64))
+
+
+def _hash_stretch(data: np.ndarray, edge: np.ndarray, lower: bool, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word; no word spans one of the places ``edge``."""
     n = len(data)
-    gap = (_SIGNS if signs else _SPACE)[data]
+    gap = gaps[data]
     head = ~gap
     tail = ~gap
     if n:
         head[1:] &= gap[:-1]
         tail[:-1] &= gap[1:]
-        edge = offsets[1:-1]
         edge = edge[(edge > 0) & (edge < n)]
         head[edge] = ~gap[edge]
         tail[edge - 1] = ~gap[edge - 1]
     start = np.flatnonzero(head)
     end = np.flatnonzero(tail) + 1
-    up, down = _BYTES.get(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODES[lower][data] * up[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(data, h, start, end, np.searchsorted(start, offsets).astype(np.int64))
+    return hash_spans(data, start, end, lower), start, end
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
