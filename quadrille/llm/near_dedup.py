@@ -8,15 +8,18 @@ Plan, for N documents:
    group of copies of any size is one row from here on.  A class has a number
    of its own, written with it, so rows of one doc_id may be in several.
 3. Every band key with two classes or more links each of its classes to the
-   smallest one: a star, never all pairs.  The stars' connected components
-   bound where links can be.
-4. Within a component, classes are dealt into blocks of bounded size and each
-   pair of blocks is a cell.  In a cell, signatures are compared first, and
-   pairs that may reach the threshold are confirmed on the full sets, unless
-   they are connected already.  A cell reports a spanning forest.
-5. Components of the confirmed links, and the join back to all documents.
-
-Nothing is capped: a component of any size is covered by its cells.
+   smallest one, its hub: a star, never all pairs.  Each link is confirmed on
+   the full sets; the members of a hub come in shares of bounded size, each with
+   the hub's set, so a group of near copies costs its size.
+4. Connected components of the confirmed links.  A band key all of whose classes
+   are in one is settled, which is usual.
+5. In the others the classes that are not with the hub (the strays) are compared
+   with all classes of the key, by signatures alone, in cells of two blocks of
+   bounded size.  Classes with an alike one in another component are confirmed
+   on their full sets, cell by cell; a cell reports a spanning forest.
+6. Components of all confirmed links, and the join back to all documents.
+
+Nothing is capped: a band key of any size is covered by its cells.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dealt_anew, saved, table
+from .shared import dealt_anew, map_arrow, saved, table
 from .textops import list_array, mix, rolling, seeds, word_slices
 
 #: A pair at the threshold itself shares no band with this probability at most.
 MISS = 1e-6
-#: Classes in a block; a cell has two blocks at most.
-BLOCK = 64
+#: Classes in a block (a cell has two blocks at most), and members of a hub in a share.
+BLOCK, SHARE = 64, 1024
 #: A pair is dropped unconfirmed if its signature is this many standard deviations under the threshold.
 SIGMAS = 6.0
 
@@ -144,26 +147,31 @@ def _sets(size: int):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(x), len(y)) * threshold.denominator < threshold.numerator * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * threshold.denominator >= threshold.numerator * (len(x) + len(y) - common)
+
+
+def alike(marks: np.ndarray, sides: np.ndarray, comps: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows in different components, and on different sides if there are two, that agree in enough marks."""
+    two = len(set(sides.tolist())) > 1
+    out = []
+    for i in range(len(marks) - 1):
+        ok = (comps[i + 1 :] != comps[i]) & ((sides[i + 1 :] != sides[i]) if two else True)
+        at = np.flatnonzero(ok) + i + 1
+        at = at[(marks[at] == marks[i]).mean(axis=1) >= least] if len(at) else at
+        out += [(i, int(j)) for j in at]
+    return out
+
+
 def cell_links(
-    ids: list[int], blocks: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, threshold: Fraction
+    ids: list[int], sides: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, threshold: Fraction, least: float
 ) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one cell, each as (member, smallest of its tree).
-
-    In a cell of two blocks only pairs across them count; the others belong to the blocks' own cells.
-    """
-    n = len(ids)
-    t = float(threshold)
-    least = t - SIGMAS * math.sqrt(t * (1 - t) / marks.shape[1])
-    size = np.array([len(s) for s in sets])
-    across = len(set(blocks.tolist())) > 1
-    pairs = []
-    for i in range(n - 1):
-        alike = (marks[i + 1 :] == marks[i]).mean(axis=1)
-        ok = (alike >= least) & (np.minimum(size[i + 1 :], size[i]) >= t * np.maximum(size[i + 1 :], size[i]) - 1e-9)
-        if across:
-            ok &= blocks[i + 1 :] != blocks[i]
-        pairs += [(-alike[k], i, i + 1 + k) for k in np.flatnonzero(ok)]
-    root = list(range(n))
+    """A spanning forest of the links of one cell between its components, each link as (member, member)."""
+    root = {c: c for c in comps.tolist()}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -171,49 +179,176 @@ def cell_links(
             x = root[x]
         return x
 
-    for _, i, j in sorted(pairs):
-        p, q = find(i), find(j)
-        if p == q:
-            continue
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if common * threshold.denominator >= threshold.numerator * (len(sets[i]) + len(sets[j]) - common):
-            if ids[q] < ids[p]:
-                p, q = q, p
-            root[q] = p
-    return [(ids[k], ids[find(k)]) for k in range(n) if find(k) != k]
+    out = []
+    for i, j in alike(marks, sides, comps, least):
+        p, q = find(comps[i]), find(comps[j])
+        if p != q and linked(sets[i], sets[j], threshold):
+            root[max(p, q)] = min(p, q)
+            out.append((ids[i], ids[j]))
+    return out
 
 
-def _cells(threshold: Fraction):
-    """Rows sorted by cell (component, lo, hi, block, node, marks, shingles) to links (a, b)."""
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["a", "b"])
 
-    def solve(rows):
-        blocks = np.array([r[0] for r in rows])
-        marks = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        return cell_links([r[1] for r in rows], blocks, [r[3] for r in rows], marks, threshold)
+
+def _confirm(threshold: Fraction):
+    """Rows sorted by (hub, share), the hub's own first: (hub, share, member, node, shingles) to confirmed links (a, b)."""
 
     def run(batches):
-        cell, rows, links = None, [], []
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            blocks, ids, marks = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            lists = batch.column(6)
-            at = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values).view(np.uint64)
-            for k, key in enumerate(keys):
-                if key != cell:
-                    links += solve(rows) if len(rows) > 1 else []
-                    cell, rows = key, []
-                rows.append((blocks[k], ids[k], marks[k], flat[at[k] : at[k + 1]].copy()))
+            hubs, _, members, nodes = (batch.column(k).to_pylist() for k in range(4))
+            lists = batch.column(4)
+            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            out = []
+            for k, of in enumerate(hubs):
+                s = flat[at[k] : at[k + 1]]
+                if not members[k]:
+                    hub, own = of, s.copy()
+                elif of == hub and linked(s, own, threshold):
+                    out.append((nodes[k], of))
+            if out:
+                yield _links(out)
+
+    return run
+
+
+def _grouped(batches, width: int) -> Iterator[list[tuple]]:
+    """The rows of one cell after another (the first ``width`` columns name it), without these columns; of a last list column, arrays."""
+    cell, rows = None, []
+    for batch in batches:
+        lists = batch.columns[-1] if pa.types.is_list(batch.columns[-1].type) else None
+        columns = [c.to_pylist() for c in (batch.columns[:-1] if lists is not None else batch.columns)]
+        if lists is not None:
+            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
+            columns.append([flat[at[k] : at[k + 1]].copy() for k in range(batch.num_rows)])
+        for row in zip(*columns, strict=True):
+            if row[:width] != cell:
+                if len(rows) > 1:
+                    yield rows
+                cell, rows = row[:width], []
+            rows.append(row[width:])
+    if len(rows) > 1:
+        yield rows
+
+
+def _unpacked(rows: list[tuple]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    return [r[2] for r in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), marks
+
+
+CELL = ["key", "lo", "hi"]
+
+
+def _survivors(least: float):
+    """Rows sorted by cell (key, lo, hi, side, comp, node, marks) to those with an alike one in another component.
+
+    A cell is named by a hash of what is left of it, so that cells of the same classes have one name.
+    """
+
+    def run(batches):
+        out = []
+
+        def packed():
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["cell", "side", "comp", "node", "marks"])
+
+        for rows in _grouped(batches, 3):
+            ids, sides, comps, marks = _unpacked(rows)
+            used = sorted({k for pair in alike(marks, sides, comps, least) for k in pair})
+            if used:
+                two = len(set(sides[used].tolist())) > 1
+                halves = {s: k for k, s in enumerate(dict.fromkeys(sides[used].tolist()))}  # in the order of nodes
+                side = [halves[s] if two else 0 for s in sides[used].tolist()]
+                cell = int(mix(np.array([ids[k] * 2 + s for k, s in zip(used, side, strict=True)], np.int64).view(np.uint64)).sum(dtype=np.uint64))
+                cell = (cell ^ 1 << 63) - (1 << 63)
+                out += [(cell, s, *rows[k][1:]) for k, s in zip(used, side, strict=True)]
+            if len(out) >= 1024:
+                yield packed()
+                out = []
+        if out:
+            yield packed()
+
+    return run
+
+
+def _cells(threshold: Fraction, least: float):
+    """Rows sorted by cell (cell, side, comp, node, marks, shingles) to links (a, b)."""
+
+    def run(batches):
+        for rows in _grouped(batches, 1):
+            ids, sides, comps, marks = _unpacked(rows)
+            links = cell_links(ids, sides, comps, [r[4] for r in rows], marks, threshold, least)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
-                links = []
-        links = solve(rows) if len(rows) > 1 else []
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+                yield _links(links)
 
     return run
 
 
+def _with_roles(docs: DataFrame, classes: DataFrame, stars: DataFrame, size: int) -> DataFrame:
+    """(node, roles, shingles) of the classes in ``stars`` (node, hub), from one text of each, written once for all that follows."""
+    shares = stars.groupBy("hub").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    own = shares.select(
+        F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("member")
+    )
+    share = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share")
+    members = stars.join(dealt_anew(shares, "hub"), "hub").select("node", "hub", share, F.lit(True).alias("member"))
+    roles = own.union(members).groupBy("node").agg(F.collect_list(F.struct("hub", "share", "member")).alias("roles"))
+    wanted = roles.join(classes.select("node", "first", "low", "high"), "node")
+    texts = docs.join(wanted, docs.doc_id == wanted["first"]).select("node", "text", "low", "high", "roles")
+    kinds = "node long, roles array<struct<hub:long,share:int,member:boolean>>, shingles array<long>"
+    return saved(map_arrow(texts, _sets(size), kinds), "sets")
+
+
+def _confirmed_stars(held: DataFrame, exact: Fraction) -> DataFrame:
+    """The links (a, b) of the stars in ``held`` that the full sets confirm."""
+    placed = held.select("node", "shingles", F.explode("roles").alias("role"))
+    placed = placed.select("role.hub", "role.share", "role.member", "node", "shingles")
+    dealt = placed.repartition("hub", "share").sortWithinPartitions("hub", "share", "member")
+    return map_arrow(dealt, _confirm(exact), "a long, b long")
+
+
+def _stray_links(
+    held: DataFrame, classes: DataFrame, members: DataFrame, near: DataFrame, exact: Fraction, least: float
+) -> DataFrame | None:
+    """Links (a, b) between components that share a band key; None if no two classes are alike enough."""
+    comp = lambda node, name: near.select(F.col("node").alias(node), F.col("component").alias(name))
+    known = members.join(comp("node", "comp"), "node", "left").join(comp("hub", "hub_comp"), "hub", "left")
+    known = known.select(
+        "key", "node", F.coalesce("comp", "node").alias("comp"), (F.coalesce("comp", "node") != F.coalesce("hub_comp", "hub")).alias("stray")
+    )
+    known = saved(known, "members")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = known.groupBy("key").agg(F.sum(F.col("stray").cast("int")).alias("s"), F.count("*").alias("n")).where("s > 0")
+    mixed = mixed.select("key", blocks(F.col("s")).alias("gs"), blocks(F.col("n") - F.col("s")).alias("gh"))
+    placed = known.join(dealt_anew(mixed, "key"), "key").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("gs")).otherwise(F.col("gh"))).cast("int")
+    )
+    # cells of two strays' blocks have hi >= 0, cells of a strays' block and another one hi < 0
+    block, cell = F.col("block"), lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    with_strays = F.transform(upto(F.col("gs")), lambda k: cell(F.least(block, k), F.greatest(block, k), block))
+    with_others = F.transform(upto(F.col("gh")), lambda k: cell(block, -1 - k, F.lit(0)))
+    as_other = F.transform(upto(F.col("gs")), lambda k: cell(k, -1 - block, F.lit(1)))
+    cells = F.when(F.col("stray"), F.concat(with_strays, with_others)).otherwise(as_other)
+    marked = placed.select("key", "node", "comp", cells.alias("cells")).join(classes.select("node", "marks"), "node")
+    rows = marked.select("key", "node", "comp", "marks", F.explode("cells").alias("cell"))
+    rows = rows.select("key", "cell.lo", "cell.hi", "cell.side", "comp", "node", "marks")
+    rows = rows.repartition(*CELL).sortWithinPartitions(*CELL, "node")
+    kinds = "cell long, side int, comp long, node long, marks binary"
+    found = saved(map_arrow(rows, _survivors(least), kinds), "alike")
+    if found.isEmpty():
+        return None
+    # classes that are alike share many band keys: cells of the same classes count once
+    wanted = found.groupBy("node").agg(F.collect_set(F.struct("cell", "side", "comp", "marks")).alias("cells"))
+    rows = held.select("node", "shingles").join(wanted, "node").select("node", "shingles", F.explode("cells").alias("c"))
+    rows = rows.select("c.cell", "c.side", "c.comp", "node", "c.marks", "shingles")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "node")
+    return map_arrow(rows, _cells(exact, least), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -241,7 +376,7 @@ def _judged(docs: DataFrame, threshold: float, size: int, doc_id: str = "doc_id"
     rows, bands = banding(float(exact))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     schema = "doc_id long, n_shingles long, low long, high long, bands array<long>, marks binary, mark long"
-    signed = saved(docs.mapInArrow(_signatures(size, rows, bands), schema), "signatures")
+    signed = saved(map_arrow(docs, _signatures(size, rows, bands), schema), "signatures")
     sets = ["low", "high", "n_shingles"]
     classes = saved(
         signed.where("n_shingles > 0 and doc_id is not null")
@@ -251,35 +386,17 @@ def _judged(docs: DataFrame, threshold: float, size: int, doc_id: str = "doc_id"
         "classes",
     )
     banded = classes.select(F.explode("bands").alias("key"), "node")
-    lead = banded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    stars = banded.join(dealt_anew(lead, "key"), "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    near = components(stars)
-    members = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = members.select("node", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("g"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    members = members.join(classes.select("node", "first", "low", "high", "marks"), "node")
-    texts = docs.join(members, docs.doc_id == members["first"]).select(
-        "node", "text", "low", "high", "component", "g", "block", "marks"
-    )
-    held = texts.mapInArrow(
-        _sets(size), "node long, component long, g int, block int, marks binary, shingles array<long>"
-    )
-    cells = (
-        held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(
-            "component",
-            F.least("block", "other").alias("lo"),
-            F.greatest("block", "other").alias("hi"),
-            "block",
-            "node",
-            "marks",
-            "shingles",
-        )
-        .repartition("component", "lo", "hi")
-        .sortWithinPartitions("component", "lo", "hi")
-    )
-    links = cells.mapInArrow(_cells(exact), "a long, b long")
-    found = components(links)
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
+    members = saved(banded.join(dealt_anew(hubs, "key"), "key").select("key", "node", "hub"), "banded")
+    stars = members.where("node <> hub").select("node", "hub").distinct()
+    held = _with_roles(docs, classes, stars, size)
+    found = components(_confirmed_stars(held, exact))
+    t = float(exact)
+    least = t - SIGMAS * math.sqrt(t * (1 - t) / (rows * bands))
+    more = _stray_links(held, classes, members, found, exact, least)
+    if more is not None:
+        # a component is one node in what links components
+        found = components(found.toDF("a", "b").union(more))
     # each component's class with the smallest doc_id, of several the one with the smallest digest
     heads = found.join(classes.select("node", "first", "low", "high"), "node")
     heads = heads.groupBy("component").agg(F.min(F.struct("first", "low", "high", "node")).alias("head"))
