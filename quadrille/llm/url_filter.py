@@ -184,6 +184,12 @@ def parsed(pages: DataFrame, rules: dict[tuple[str, str], str]) -> DataFrame:
     return out.withColumn("rule", rule_of(rules)).withColumn("by_rule", verdict_of(rules))
 
 
+def featured(urls: DataFrame) -> DataFrame:
+    """``urls`` with the lexical features as columns, each made once a row: a generated column is not inlined."""
+    made = F.struct(*[c.alias(n) for n, c in lexical(F.col("url")).items()])
+    return urls.withColumn("made", F.explode(F.array(made))).select(*urls.columns, "made.*")
+
+
 def fit(pages: DataFrame, rules: dict[tuple[str, str], str] = RULES, rows: int = TRAIN_ROWS) -> Model:
     """Learn the rules' verdicts from the URLs that have one."""
     known = parsed(pages, rules).where("rule is not null").withColumn("y", (F.col("by_rule") == "block").cast("double"))
@@ -194,12 +200,13 @@ def fit(pages: DataFrame, rules: dict[tuple[str, str], str] = RULES, rows: int =
     if len(rates.select("name").take(BROADCAST + 1)) <= BROADCAST:
         rates = F.broadcast(rates)
     model = Model(rates, total.rate, [], 0.0)
-    share = rows / max(1, total.n)
+    share = 1.2 * rows / max(1, total.n)
     if share < 1:
+        # a share by hash, then the bound itself: the same rows whatever the layout of the table
         known = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    features = {**lexical(F.col("url")), "suffix_rate": F.col("suffix_rate")}
-    names = list(features)
-    sample = model.rated(known).select(*[c.cast("double").alias(n) for n, c in features.items()], "y").limit(rows).collect()
+    known = known.orderBy(F.xxhash64("url"), "url").limit(rows)
+    names = [*lexical(F.col("url")), "suffix_rate"]
+    sample = featured(model.rated(known)).select(*[F.col(n).cast("double") for n in names], "y").collect()
     data = np.array([tuple(r) for r in sample], np.float64).reshape(-1, len(names) + 1)
     data = data[np.lexsort(data.T)]  # whatever order rows came in
     model.trees, model.base = boost(data[:, :-1], data[:, -1], names)
@@ -212,11 +219,13 @@ def judge(pages: DataFrame, model: Model, rules: dict[tuple[str, str], str] = RU
     The verdict is the longest fitting rule's, else the trees': block from a
     probability (``score``) of one half on.  A url that is null or without
     ``://`` has an empty host and path and no rule.  Ids are only carried, so
-    nulls and repeats of them don't matter; other columns are ignored.
+    nulls and repeats of them don't matter, and repeated rows are judged each;
+    an empty or very long url is judged whole.  Other columns are ignored.  An
+    empty table gives an empty result.
     """
-    score = model.score({**lexical(F.col("url")), "suffix_rate": F.col("suffix_rate")})
+    score = model.score({n: F.col(n) for n in [*lexical(F.col("url")), "suffix_rate"]})
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    out = model.rated(parsed(pages, rules)).withColumn("score", score)
+    out = featured(model.rated(parsed(pages, rules))).withColumn("score", score)
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
