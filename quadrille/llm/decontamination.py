@@ -3,7 +3,8 @@
 The benchmark is the query set.  It is read in blocks of a bounded number of
 words, whatever its size; each block is broadcast and runs against all
 documents in one map-only pass, so no task holds more than one block and one
-slice of texts.  In a pass:
+slice of texts.  With several blocks each pass ends, and its block is given
+back, before the next begins.  In a pass:
 
 1. Karp-Rabin hashes of all windows of ``min_match`` words of the documents
    are joined with those of the block (a sorted lookup): the shared seeds.
@@ -25,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, map_arrow, saved, table
 from .textops import Words, hash_words, rolling, text_buffers, word_slices
 
 #: Shortest match in words.
@@ -119,26 +121,36 @@ def tile(found: list[tuple[int, int, int]], n_item: int, n_doc: int, size: int)
 
 
 def contained(block: Block, doc: np.ndarray, seed: np.ndarray, at: np.ndarray, size: int, coverage: float):
-    """(item, tiled words, item words) of each item of a block that a document contains; ``seed`` and ``at`` are its shared seeds."""
-    lo, hi = np.searchsorted(block.seeds, seed, "left"), np.searchsorted(block.seeds, seed, "right")
+    """(item, tiled words, item words) of each item of a block that a document contains; ``seed`` and ``at`` are its shared seeds.
+
+    A place of the block counts once however often the document has its seed;
+    only for an item that the document's seeds may cover are the places of both
+    brought together, one item at a time.
+    """
+    by_seed = np.argsort(seed, kind="stable")
+    seed, at = seed[by_seed], at[by_seed]
+    own, first, times = np.unique(seed, return_index=True, return_counts=True)
+    lo, hi = np.searchsorted(block.seeds, own, "left"), np.searchsorted(block.seeds, own, "right")
     many = hi - lo
-    j = np.repeat(at, many)
-    i = block.at[np.arange(len(j)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+    which = np.repeat(np.arange(len(own)), many)
+    i = block.at[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
     item = np.searchsorted(block.bounds, i, "right") - 1
     order = np.argsort(item, kind="stable")
-    i, j, item = i[order], j[order], item[order]
+    i, which, item = i[order], which[order], item[order]
     cuts = np.flatnonzero(np.diff(item)) + 1
     for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(item)]]), strict=True):
         k = item[a]
         base, n = block.bounds[k], int(block.bounds[k + 1] - block.bounds[k])
         reach = np.zeros(n + 1, np.int64)  # an upper bound of what tiles can cover
-        starts = np.unique(i[a:b]) - base
+        starts = i[a:b] - base
         np.add.at(reach, starts, 1)
         np.add.at(reach, starts + size, -1)
         if (np.cumsum(reach)[:-1] > 0).sum() < coverage * n:
             continue
         words = block.words[base : base + n]
-        tiled = sum(x[2] for x in tile(matches(words, doc, i[a:b] - base, j[a:b], size), n, len(doc), size))
+        here = times[which[a:b]]
+        j = at[np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here) + np.repeat(first[which[a:b]], here)]
+        tiled = sum(x[2] for x in tile(matches(words, doc, np.repeat(starts, here), j, size), n, len(doc), size))
         if tiled >= coverage * n:
             yield block.ids[k], tiled, n
 
@@ -168,9 +180,9 @@ def _pass(shared, size: int, coverage: float):
                 spot = np.minimum(np.searchsorted(block.seeds, h), max(0, len(block.seeds) - 1))
                 hit = block.seeds[spot] == h if len(block.seeds) else np.zeros(len(h), bool)
                 h, first = h[hit], first[hit]
-                owner = np.searchsorted(w.bounds, first, "right") - 1
-                for k in np.unique(owner).tolist():
-                    own = owner == k
+                edge = np.searchsorted(first, w.bounds)
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    own = slice(edge[k], edge[k + 1])
                     a, b = w.bounds[k], w.bounds[k + 1]
                     new = list(contained(block, w.hash[a:b], h[own], first[own] - a, size, coverage))
                     found += new
@@ -205,19 +217,33 @@ def contaminations(
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     schema = "doc_id long, mark long, item_id long, tiled long, n_words long"
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark, min_match):
-        out = out.union(docs.mapInArrow(_pass(spark.sparkContext.broadcast(block), min_match, coverage), schema))
-    return out
+    def found(block: Block) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast(block)
+        return map_arrow(docs, _pass(shared, min_match, coverage), schema), shared
+
+    todo = blocks(benchmark, min_match)
+    now, out = next(todo, None), spark.createDataFrame([], schema)
+    for after in todo:
+        part, shared = found(now)
+        out = out.union(saved(part, "contaminations"))  # so that one block at a time is held
+        shared.destroy()
+        now = after
+    return out.union(found(now)[0]) if now is not None else out
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE
 ) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, all columns unchanged."""
-    found = contaminations(docs, benchmark, min_match, coverage).select("doc_id", "mark").distinct()
-    found = found.toDF("_doc", "_mark")
-    same = docs.doc_id.eqNullSafe(F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_mark"))
+    """The rows of ``docs`` that contain no benchmark item, all columns unchanged, whatever their names.
+
+    Rows are told apart by doc_id and text, so a null doc_id or one that several
+    rows have does not matter; repeated rows go or stay together.  Null and
+    empty texts stay, and texts of any length are judged whole.  Without
+    documents the result is empty, without benchmark it is ``docs``.
+    """
+    doc, mark = fresh(docs, "_doc", "_mark")
+    found = contaminations(docs, benchmark, min_match, coverage).select("doc_id", "mark").distinct().toDF(doc, mark)
+    same = docs.doc_id.cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(docs.text) == F.col(mark))
     return docs.join(found, same, "left_anti")
 
 
