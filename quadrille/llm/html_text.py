@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import map_arrow, table
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z", re.S
@@ -64,10 +65,21 @@ MIN_LINK_DENSITY = 0.5
 
 
 class Node:
-    __slots__ = ("children", "link", "links", "out", "parent", "score", "size", "tag", "names")
+    """An element, and what is known of it from its ancestors, so that none of them is looked up again.
+
+    ``inside`` says whether it or an ancestor is an article, ``anchors`` counts
+    the links around it, ``block`` is the nearest element that is not inline,
+    and ``in_p`` whether a paragraph is open that a block ends.
+    """
+
+    __slots__ = ("anchors", "block", "in_p", "inside", "link", "links", "names", "out", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, names: set[str]):
         self.tag, self.parent, self.out, self.names = tag, parent, out, names
+        self.inside = tag in _ARTICLE_TAGS or (parent is not None and parent.inside)
+        self.anchors = (tag == "a") + (parent.anchors if parent else 0)
+        self.block = parent.block if parent and tag in _INLINE else self
+        self.in_p = tag == "p" or (parent is not None and parent.in_p and tag not in _P_BOUNDARY)
         self.score = 0.0
         self.size = self.link = self.links = 0
 
@@ -95,21 +107,20 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
         style = a.get("style", "").replace(" ", "").lower()
         out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or a.get("role", "").lower() in _OUT_ROLES
     if not out and tag not in ("html", "body"):
-        inside = tag in _ARTICLE_TAGS
-        node: Node | None = parent
-        while node is not None and not inside:
-            inside = node.tag in _ARTICLE_TAGS
-            node = node.parent
         header = tag == "header" or names & _HEADER_NAMES
         if tag not in _ARTICLE_TAGS:
-            out = bool(names & _OUT_NAMES) or bool(header and not inside)
+            out = bool(names & _OUT_NAMES) or bool(header and not parent.inside)
     return Node(tag, parent, out, names)
 
 
-def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The root, and each block of text with the element it stands in, in page order."""
+def blocks(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
+    """All elements, parents first, and each block of text with the element it stands in, in page order.
+
+    Time and memory are in proportion to the page, however deep its elements are nested.
+    """
     root = Node("#root", None, False, set())
-    stack = [root]
+    stack, nodes = [root], [root]
+    opened: Counter[str] = Counter()
     found: list[tuple[Node, str]] = []
     parts: list[str] = []
     linked = 0
@@ -122,30 +133,26 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         parts.clear()
         if text and not owner.out:
             found.append((owner, text))
-            node: Node | None = owner
-            size = min(linked, len(text))
-            while node is not None:
-                node.size += len(text)
-                node.link += size
-                node.links += links
-                node = node.parent
+            owner.size += len(text)
+            owner.link += min(linked, len(text))
+            owner.links += links
         linked = links = 0
 
     def close(upto: int) -> None:
         nonlocal owner
         if any(n.tag not in _INLINE for n in stack[upto:]):
             flush()
+        opened.subtract(n.tag for n in stack[upto:])
         del stack[upto:]
-        owner = next(n for n in reversed(stack) if n.tag not in _INLINE)
+        owner = stack[-1].block
 
     at, end = 0, len(page)
-    anchors = 0
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not stack[-1].out:
             parts.append(text)
-            if anchors:
+            if stack[-1].anchors:
                 linked += len(text.strip())
         if not m:
             break
@@ -154,10 +161,8 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if not tag:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
         else:
             if tag in ("br", "hr", "img", "input"):
                 parts.append(" ")
@@ -172,13 +177,9 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 at = stop.end() if stop else end
                 continue
             if tag not in _INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in _P_BOUNDARY:
-                        break
-                    if stack[k].tag == "p":
-                        close(k)
-                        break
-                if tag in _ENDS:
+                if stack[-1].in_p:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"))
+                if tag in _ENDS and any(opened[x] > 0 for x in _ENDS[tag][0]):
                     ends, boundary = _ENDS[tag]
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag in boundary:
@@ -192,13 +193,19 @@ def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 continue
             node = _open(tag, m[3], stack[-1])
             stack.append(node)
+            nodes.append(node)
+            opened[tag] += 1
             if tag == "a":
                 links += 1
             if tag not in _INLINE:
                 owner = node
-        anchors = sum(n.tag == "a" for n in stack)
     flush()
-    return root, found
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.link += node.link
+            node.parent.links += node.links
+    return nodes, found
 
 
 def _linky(node: Node) -> bool:
@@ -208,7 +215,7 @@ def _linky(node: Node) -> bool:
 
 def main_text(page: str | None) -> str:
     """The article of a page; empty if there is none."""
-    _, found = blocks(page or "")
+    nodes, found = blocks(page or "")
     for node, text in found:
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         up, share = node if node.tag not in ("p", "pre", "blockquote", "li", "td") else node.parent, 1.0
@@ -236,17 +243,11 @@ def main_text(page: str | None) -> str:
                 text = node.tag == "p" and node.size > 80 and node.link < 0.25 * node.size
                 if value >= least or text or node.tag in ("h1", "h2"):
                     kept.add(node)
-    out = []
-    for node, text in found:
-        up, inside = node, False
-        drop = False
-        while up is not None and not inside:
-            drop = drop or (_linky(up) and up not in kept)
-            inside = up in kept
-            up = up.parent
-        if inside and not drop:
-            out.append(text)
-    return " ".join(out)
+    taken: dict[Node, bool | None] = {}  # of an element: whether its text counts; None outside of what is kept
+    for node in nodes:
+        around = taken.get(node.parent) if node.parent else None
+        taken[node] = True if node in kept else None if around is None else around and not _linky(node)
+    return " ".join(text for node, text in found if taken[node])
 
 
 def _extract(batches):
@@ -264,12 +265,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty pages give an empty text.  Character references are decoded,
     white space inside a block is one space, and blocks are joined in page order
-    by one space.  Ids and urls are only carried, so nulls and repeats of them
-    don't matter; other columns are ignored.
+    by one space.  A page of any length is taken whole, in time and memory in
+    proportion to it.  Ids and urls are only carried, so nulls and repeats of
+    them don't matter, and repeated rows are extracted each; other columns,
+    whatever their names, are ignored.  An empty table gives an empty result.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(
-        _extract, f"page_id {kind}, url string, text string, n_chars long"
+    return map_arrow(
+        pages.select("page_id", "url", "html"), _extract, f"page_id {kind}, url string, text string, n_chars long"
     )
 
 
