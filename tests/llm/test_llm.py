@@ -178,10 +178,23 @@ def test_fingerprints_fold_case_space_and_unicode_form(spark):
     assert (one.near_next, fingerprints.compare_with_next(frame(spark, [])).count()) == (1.0, 0)
 
 
-def test_colliding_fingerprints_are_told_apart(spark):
-    forms = spark.createDataFrame([("h", b"a"), ("h", b"b"), ("h", b"a"), ("g", b"c")], "fingerprint string, form binary")
-    got = sorted((r.fingerprint, bytes(r.form), r.number) for r in fingerprints.collisions(forms).collect())
-    assert got == [("h", b"a", 0), ("h", b"b", 1)]
+def test_colliding_fingerprints_get_another_seed(spark):
+    forms = spark.createDataFrame([("h", b"a"), ("h", b"b"), ("h", b"a"), ("g", b"c"), ("g", b"c")], "fingerprint string, form binary")
+    assert [r.fingerprint for r in fingerprints.collided(forms).collect()] == ["h"]
+    texts = ["one", "two", "three", "One"]
+    seeds = [s for s in range(fingerprints.SEEDS) if len({fingerprints.fingerprint(t, s, 1) for t in texts}) == 3]
+    got = [r.fingerprint for r in fingerprints.fingerprints(frame(spark, texts), digits=1).orderBy("doc_id").collect()]
+    assert got == [fingerprints.fingerprint(t, seeds[0], 1) for t in texts]
+    with pytest.raises(ValueError):
+        fingerprints.fingerprints(frame(spark, [str(k) for k in range(17)]), digits=1)
+
+
+def test_fingerprints_odd_rows(spark):
+    rows = [(None, "b", 1), (None, "a", 2), (5, "c", 3), (5, "c", 4), (5, None, 5)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumns({"z": F.lit(0), "part": F.lit(0)})
+    got = fingerprints.compare_with_next(odd).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == [(0, 1), (0, 1), (5, 0), (5, 1), (5, 1)]
+    assert sum(r.near_next for r in got) == 1
 
 
 # --- tokens ---------------------------------------------------------------------------------------
@@ -304,7 +317,11 @@ def test_mix_reaches_targets_and_is_repeatable(spark):
 def test_poisson_counts_follow_the_distribution(spark):
     from math import exp, factorial
 
-    df = spark.range(20000).select(mixing.repetitions(F.lit(2.5), F.col("id"), 1).alias("n"), mixing.repetitions(F.lit(700.0), F.col("id"), 2).alias("big"))
+    def counts(mean, seed):
+        parts = mixing.draws(F.lit(mean))
+        return mixing.repetitions(mixing.cumulative(F.lit(mean) / parts), parts, F.col("id"), seed)
+
+    df = spark.range(20000).select(counts(2.5, 1).alias("n"), counts(700.0, 2).alias("big"))
     got = df.groupBy("n").count().collect()
     for r in got:
         want = 20000 * exp(-2.5) * 2.5**r.n / factorial(r.n)
