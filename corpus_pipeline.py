@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept.  All but the last return the columns of ``documents``; every result is
 written as Parquet and read again before the next stage.
+
+Odd rows: a null text counts as empty everywhere; empty and very long texts are
+judged whole.  Rows without doc_id stay unless quality or benchmark rejects
+them, and rows of one doc_id are told apart by their texts.  Of equal rows, one
+stays (the near-duplicate stage).  Ties are settled by doc_id, then by hashes of
+the text.  An empty table, a missing label or an empty benchmark give defined
+results in every stage, and columns of any other name come through unchanged.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontamination, mixing, near_dedup, quality, token_output
-from quadrille.llm.shared import saved, table
+from quadrille.llm.shared import fresh, saved, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +38,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in equal proportions, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    copy, order = fresh(docs, "copy", "shuffle_key")
+    return mixing.mix(docs, copy=copy, order=order).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
