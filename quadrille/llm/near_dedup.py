@@ -40,7 +40,7 @@ from .textops import list_array, mix, rolling, seeds, word_slices
 #: A pair at the threshold itself shares no band with this probability at most.
 MISS = 1e-6
 #: Classes in a block (a cell has two blocks at most), and members of a hub in a share.
-BLOCK, SHARE = 64, 1024
+BLOCK, SHARE = 64, 64
 #: A pair is dropped unconfirmed if its signature is this many standard deviations under the threshold.
 SIGMAS = 6.0
 
