@@ -4,7 +4,7 @@ A text's subwords are all runs of 2, 3 and 4 bytes of its lower-cased UTF-8
 with word gaps as one space.  Each hashes to one of ``BUCKETS`` embeddings; the text is
 the average of its subwords' embeddings, and a linear softmax gives the
 languages.  Embeddings and softmax are trained together by stochastic gradient
-descent in numpy on the driver, on the rows of at most ``TRAIN_ROWS`` doc_ids
+descent in numpy on the driver, on at most ``TRAIN_ROWS`` rows
 whose subword counts the executors made.  A held-back part of these sets the
 temperature that makes scores probabilities, and the score under which a
 prediction is rejected.
@@ -182,8 +182,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         # a share by hash, then the bound itself: the same rows whatever the layout of the table
         known = known.where(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)))
     ids = known.select("doc_id").distinct().orderBy(pick, "doc_id").limit(rows)
-    known = known.join(F.broadcast(ids), "doc_id").select("lang", "text").limit(2 * rows)  # at most ``rows`` ids
-    found = map_arrow(known, _features, "lang string, buckets binary, shares binary").collect()
+    known = known.join(F.broadcast(ids), "doc_id").select("lang", "text")  # at most ``rows`` ids
+    found = map_arrow(known, _features, "lang string, buckets binary, shares binary")
+    # where doc_ids repeat, the bound holds for rows, too
+    found = found.orderBy(F.xxhash64("buckets", "shares"), "lang").limit(rows).collect()
     languages = sorted({r.lang for r in found}) or [UNKNOWN]
     labels = np.array([languages.index(r.lang) for r in found], np.int64)
     # whatever order rows came in
@@ -225,7 +227,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     probability; ``accepted`` says whether the score reaches the threshold under
     which predictions are to be rejected.  A text that is null or has no letter
     has lang_pred ``und``, score 0 and is not accepted.  Nulls and repeats of
-    doc_id don't matter (a null is not held out); other columns are ignored.
+    doc_id don't matter (a null is not held out); repeated rows are judged each,
+    and very long texts whole.  Other columns, whatever their names, are ignored.
+    An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()

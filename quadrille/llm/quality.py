@@ -4,7 +4,8 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage of the
 whole text is encoded: shares of byte classes and of pairs of them, word
 lengths, and how often words repeat, then one learned dense layer.  Gated
 attention, learned from document labels alone, weights the passages, and the
-score is a logistic function of the weighted sum.
+score is a logistic function of the weighted sum.  Features are of bytes and of
+repetition; no word is looked up.
 
 Training runs on the driver in numpy, on at most ``TRAIN_ROWS`` labelled
 documents picked by a hash of doc_id.  Of a document with more than
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     pairs = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")  # at most ``rows`` ids
     found = map_arrow(pairs, _features, "label int, features binary")
-    found = found.limit(rows).collect()
+    found = found.orderBy(F.xxhash64("features"), "label").limit(rows).collect()  # where doc_ids repeat, the bound holds for rows, too
     found.sort(key=lambda r: (r.label, bytes(r.features)))  # whatever order rows came in
     xs = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH) for r in found]
     x = np.concatenate(xs) if xs else np.zeros((0, WIDTH), np.float32)
@@ -241,8 +242,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1), predicted (1 from ``THRESHOLD`` on).
 
     Null, empty and blank texts are a bag of one empty passage.  Nulls and
-    repeats of doc_id don't matter (a null is not held out); other columns are
-    ignored.
+    repeats of doc_id don't matter (a null is not held out); very long texts are
+    scored whole, and other columns, whatever their names, are ignored.  An empty
+    table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -254,7 +256,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model predicts as label 1, all columns unchanged."""
+    """The rows of ``docs`` that the model predicts as label 1, all columns unchanged, whatever their names.
+
+    Null, empty and blank texts are judged as one empty passage, very long ones
+    whole.  Equal texts are judged alike, so repeated rows stay or go together;
+    doc_id is only carried.  An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
