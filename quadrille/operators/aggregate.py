@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,9 @@ from pyspark.sql.window import Window
 from ..meta import Grid
 from .lattice import centers
 
+#: Rows of a curve that are averaged in one window.
+RUN = 4096
+
 
 def mean(df: DataFrame, value: str = "v", volume: str | None = None, batch: tuple[str, ...] = ()) -> DataFrame:
     """Mean over cells or elements, weighted by a volume column off grids."""
@@ -49,25 +55,34 @@ def discretize(df: DataFrame, grid: Grid, fraction: float = 0.25, value: str = "
     return joined.select(*batch, *at, F.when(F.col("_n") > 0, top.cast("int")).otherwise(0).alias("mark"))
 
 
+def running_total(df: DataFrame, order: Sequence[Column], weight: Column, out: str, batch: tuple[str, ...] = ()) -> DataFrame:
+    """The sum of ``weight`` over all rows up to each in an order without ties, per batch.
+
+    Rows are dealt by ranges of the order and summed within them; the ranges'
+    totals (a row a partition and batch) give what lies before each.
+    """
+    ranged = df.repartitionByRange(*[F.col(b) for b in batch], *order).withColumn("_p", F.spark_partition_id())
+    within = Window.partitionBy("_p", *batch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = ranged.withColumn("_in", F.sum(weight).over(within)).withColumn("_w", weight)
+    heads = run.groupBy("_p", *batch).agg(F.sum("_w").alias("_all"))
+    before = Window.partitionBy(*batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("_p", *batch, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in ("_p", *batch)]
+    both = run.alias("_l").join(F.broadcast(heads).alias("_h"), reduce(lambda a, b: a & b, same))
+    return both.select(*[F.col(f"_l.`{c}`") for c in df.columns], (F.col("_in") + F.col("_before")).alias(out))
+
+
 def threshold_of_rank(df: DataFrame, value: str, tie: str, count: int, batch: tuple[str, ...] = ()) -> DataFrame:
     """Per batch the value (``_cut``) and tie-breaker (``_tie``) of the row with rank ``count`` from the top."""
     counts = df.groupBy(*batch, value).agg(F.count("*").alias("n"))
-    # how many rows have a larger value: a running count over distinct values, by ranges of them
-    ranged = counts.repartitionByRange(*batch, F.desc(value)).withColumn("_p", F.spark_partition_id())
-    above = Window.partitionBy("_p", *batch).orderBy(F.desc(value))
-    run = ranged.withColumn("_in", F.sum("n").over(above))
-    heads = run.groupBy("_p", *batch).agg(F.sum("n").alias("_all"))
-    before = Window.partitionBy(*batch).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")
-    ranks = run.join(F.broadcast(heads), ["_p", *batch])  # one row a partition and batch
-    ranks = ranks.withColumn("_to", F.col("_in") + F.col("_before")).withColumn("_from", F.col("_to") - F.col("n"))
+    # how many rows have a larger value: a running count over distinct values
+    ranks = running_total(counts, [F.desc(value)], F.col("n"), "_to", batch).withColumn("_from", F.col("_to") - F.col("n"))
     cut = ranks.where((F.col("_from") < count) & (F.col("_to") >= count)).select(
         *batch, F.col(value).alias("_cut"), (F.lit(count) - F.col("_from")).alias("_n")
     )
-    ties = df.join(F.broadcast(cut), list(batch)) if batch else df.crossJoin(F.broadcast(cut))
-    ties = ties.where(F.col(value) == F.col("_cut"))
-    order = Window.partitionBy(*batch, "_cut").orderBy(tie)
-    ranked = ties.withColumn("_r", F.row_number().over(order)).where("_r = _n")
+    ties = df.join(F.broadcast(cut), list(batch)) if batch else df.crossJoin(F.broadcast(cut))  # one row a batch
+    # a constant field is one tie, so ties are counted by ranges too
+    ranked = running_total(ties.where(F.col(value) == F.col("_cut")), [F.col(tie)], F.lit(1), "_r", batch).where("_r = _n")
     return ranked.select(*batch, "_cut", F.col(tie).alias("_tie"), "_n")
 
 
@@ -94,17 +109,31 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, wei
     return every.join(found, "bin", "full").na.fill(0.0, ["weight"])
 
 
-def smooth(df: DataFrame, order: str, value: str, n: int, batch: tuple[str, ...] = ()) -> DataFrame:
-    """Centered moving average over ``n`` rows of a curve, over those there are near the ends."""
-    w = Window.partitionBy(*batch).orderBy(order).rowsBetween(-(n // 2), (n - 1) // 2)
-    return df.withColumn("smooth", F.avg(value).over(w))
+def smooth(df: DataFrame, order: str, value: str, n: int, batch: tuple[str, ...] = (), run: int = RUN) -> DataFrame:
+    """Centered moving average over ``n`` rows of a curve, over those there are near the ends.
+
+    A curve is cut into runs of ``run`` rows, which get the rows beside them, so one of any length is many tasks.
+    """
+    before, after = n // 2, (n - 1) // 2
+    at = F.col("_r") - 1
+    ranked = running_total(df, [F.col(order)], F.lit(1), "_r", batch)
+    runs = F.sequence(F.floor((at - after) / run), F.floor((at + before) / run))
+    copies = ranked.withColumn("_run", F.explode(runs))
+    w = Window.partitionBy(*batch, "_run").orderBy("_r").rowsBetween(-before, after)
+    smoothed = copies.withColumn("smooth", F.avg(value).over(w))
+    return smoothed.where(F.col("_run") == F.floor(at / run)).drop("_r", "_run")
 
 
 def down_sample(df: DataFrame, order: str, every: int, batch: tuple[str, ...] = ()) -> DataFrame:
     """Every ``every``-th row of a curve, and the last."""
-    w = Window.partitionBy(*batch).orderBy(order)
-    ranked = df.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead(order).over(w))
-    return ranked.where(((F.col("_r") - 1) % every == 0) | F.col("_next").isNull()).drop("_r", "_next")
+    ranked = running_total(df, [F.col(order)], F.lit(1), "_r", batch)
+    last = df.groupBy(*batch).agg(F.count("*").alias("_last"))
+    if batch:
+        same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in batch])
+        ranked = ranked.alias("_l").join(last.alias("_h"), same).select(*[F.col(f"_l.`{c}`") for c in ranked.columns], "_last")
+    else:
+        ranked = ranked.crossJoin(F.broadcast(last))  # one row
+    return ranked.where(((F.col("_r") - 1) % every == 0) | (F.col("_r") == F.col("_last"))).drop("_r", "_last")
 
 
 def bounding_box(df: DataFrame, axes: tuple[str, ...], half: str | None = None, batch: tuple[str, ...] = ()) -> DataFrame:

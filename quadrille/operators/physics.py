@@ -163,10 +163,9 @@ def diffuse_implicit(df: DataFrame, grid: Grid, diffusivity: float, dt: float, v
     return solve.solve_lattice(rows, grid, "b", value, 1.0, dt * diffusivity, relative)
 
 
-def diffuse_fourier(df: DataFrame, grid: Grid, diffusivity: float, dt: float, value: str = "v", batch: tuple[str, ...] = ()) -> DataFrame:
+def diffuse_fourier(df: DataFrame, grid: Grid, diffusivity: float, dt: float, value: str = "v", batch: tuple[str, ...] = (), distributed: bool | None = None) -> DataFrame:
     """Exact diffusion of a periodic field in frequency space."""
-    decay = np.exp(-solve.frequencies(grid) * diffusivity * dt)
-    return solve.grid_kernel(df, grid, lambda a: np.fft.ifftn(np.fft.fftn(a) * decay).real, value, batch=batch)
+    return solve.spectral_filter(df, grid, lambda k2: np.exp(-k2 * diffusivity * dt), value, batch, distributed)
 
 
 # --- fluids --------------------------------------------------------------------------------------

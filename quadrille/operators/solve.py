@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..meta import Grid
+from . import spectral
 from .tiles import shifted
 
 #: Largest lattice that one worker may hold as an array: 2^22 cells are 32 MB of doubles.
@@ -23,18 +24,29 @@ class NotConverged(RuntimeError):
     pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the checkpoint folder, so a loop's plan does not grow."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the checkpoint folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
-    where = f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return f"{path.rstrip('/')}/step-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from the checkpoint folder, so a loop's plan does not grow."""
+    return one_after_another([df])
+
+
+def one_after_another(parts: Iterable[DataFrame]) -> DataFrame:
+    """All rows of some tables, each written in turn to one folder, so the plan is one scan however many there are."""
+    where = None
+    for part in parts:
+        where = where or _folder(part.sparkSession)
+        part.write.mode("append").parquet(where)
+    return part.sparkSession.read.schema(part.schema).parquet(where)
 
 
 def conjugate_gradients(
@@ -246,34 +258,45 @@ def solve_masked(
 
 def frequencies(grid: Grid) -> np.ndarray:
     """Squared wave numbers (2 pi k)^2 of the discrete Fourier transform of a lattice."""
-    axes = [2 * np.pi * np.fft.fftfreq(n, grid.dx[a]) for a, n in grid.resolution.items()]
-    return sum(k**2 for k in np.meshgrid(*axes, indexing="ij"))
+    return sum(k**2 for k in np.meshgrid(*[spectral.wave_numbers(grid, a) for a in grid.axes], indexing="ij"))
+
+
+def spectral_filter(
+    df: DataFrame, grid: Grid, response: Callable[[np.ndarray], np.ndarray], value: str = "v", batch: tuple[str, ...] = (), distributed: bool | None = None
+) -> DataFrame:
+    """A periodic field with its spectrum multiplied by ``response`` of the squared wave number.
+
+    A lattice that fits a worker is transformed there, a larger one axis by axis in blocks of lines.
+    """
+    if not (fits_worker(grid) if distributed is None else not distributed):
+        return spectral.filtered(df, grid, response, value, batch)
+    return grid_kernel(df, grid, lambda a: np.fft.ifftn(np.fft.fftn(a) * response(frequencies(grid))).real, value, batch=batch)
 
 
-def fourier_laplace(df: DataFrame, grid: Grid, value: str = "v", times: int = 1, batch: tuple[str, ...] = ()) -> DataFrame:
+def fourier_laplace(
+    df: DataFrame, grid: Grid, value: str = "v", times: int = 1, batch: tuple[str, ...] = (), distributed: bool | None = None
+) -> DataFrame:
     """Spectral Laplacian of a periodic field."""
-    k2 = frequencies(grid)
-    return grid_kernel(df, grid, lambda a: np.fft.ifftn(np.fft.fftn(a) * (-k2) ** times).real, value, batch=batch)
+    return spectral_filter(df, grid, lambda k2: (-k2) ** times, value, batch, distributed)
 
 
-def fourier_poisson(df: DataFrame, grid: Grid, value: str = "v", times: int = 1, batch: tuple[str, ...] = ()) -> DataFrame:
+def fourier_poisson(
+    df: DataFrame, grid: Grid, value: str = "v", times: int = 1, batch: tuple[str, ...] = (), distributed: bool | None = None
+) -> DataFrame:
     """Spectral inverse Laplacian of a periodic field; the result has mean 0."""
-    k2 = frequencies(grid)
-    inverse = np.where(k2 == 0, 0, -1 / np.where(k2 == 0, 1, k2)) ** times
-    return grid_kernel(df, grid, lambda a: np.fft.ifftn(np.fft.fftn(a) * inverse).real, value, batch=batch)
+    return spectral_filter(df, grid, lambda k2: np.where(k2 == 0, 0, -1 / np.where(k2 == 0, 1, k2)) ** times, value, batch, distributed)
 
 
-def noise(df: DataFrame, grid: Grid, scale: float = 10.0, smoothness: float = 1.0, seed: int = 0, out: str = "v") -> DataFrame:
-    """Random field with a power-law spectrum, mean 0 and deviation 1; the seed fixes it."""
+def noise(
+    df: DataFrame, grid: Grid, scale: float = 10.0, smoothness: float = 1.0, seed: int = 0, out: str = "v", distributed: bool | None = None
+) -> DataFrame:
+    """Random field with a power-law spectrum, mean 0 and deviation 1; the seed fixes it, whatever the layout and the way."""
+    if not (fits_worker(grid) if distributed is None else not distributed):
+        return spectral.noise(df, grid, scale, smoothness, seed, out)
 
     def draw(a: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        k = [np.fft.fftfreq(n) * n for n in a.shape]
-        k2 = sum((q * scale / max(a.shape)) ** 2 for q in np.meshgrid(*k, indexing="ij"))
-        keep = k2 >= 0.1 * (scale / max(a.shape)) ** 2
-        envelope = np.where(keep, np.where(keep, k2, 1.0) ** -smoothness, 0)
-        spectrum = (rng.normal(size=a.shape) + 1j * rng.normal(size=a.shape)) * envelope
-        x = np.fft.ifftn(spectrum).real
+        index = dict(zip(grid.axes, np.indices(a.shape, sparse=True), strict=True))
+        x = np.fft.ifftn(spectral.noise_spectrum(index, grid, scale, smoothness, seed)).real
         x = x / (x.std() or 1.0)
         return x - x.mean()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import vector as vec
 from ..meta import Grid
 from .geometry import Box, Geometry
+from .lattice import centers, lattice
 from .mesh import Mesh, filter_unused, geometry, polygon_edges, quad_mesh
+from .solve import one_after_another
+from .tensors import linear_index
 
 
 def corners(mesh: Mesh) -> DataFrame:
@@ -49,19 +53,38 @@ def displaced(mesh: Mesh, distance: float) -> Mesh:
     return Mesh(moved, mesh.elements, mesh.boundaries)
 
 
-def closest_surface(points: DataFrame, mesh: Mesh, block: int = 2048) -> DataFrame:
-    """(elem_id, eid, distance) of the nearest triangle of each point; points are the query set, taken in blocks."""
+def closest_surface(points: DataFrame, mesh: Mesh, block: int = 2048, signed: bool = False) -> DataFrame:
+    """(elem_id, eid, distance) of the nearest triangle of each point; points are the query set, taken in blocks.
+
+    ``signed``: negative inside a closed surface whose normals point outward.  Of
+    triangles that are equally near (at an edge or corner), the one that faces the point most says on which side it is.
+    """
     tri = corners(mesh)
     blocks = max(1, -(-points.count() // block))
-    out = None
-    near = vec.closest_on_triangle(_corner("a"), _corner("b"), _corner("c"), {x: F.col(x) for x in "xyz"})
-    d = vec.length(vec.subtract(near, {x: F.col(x) for x in "xyz"}))
-    for k in range(blocks):
+    a, b, c, p = _corner("a"), _corner("b"), _corner("c"), {x: F.col(x) for x in "xyz"}
+    way = vec.subtract(p, vec.closest_on_triangle(a, b, c, p))
+    d = vec.length(way)
+    if signed:
+        tri = tri.withColumns({f"n{x}": v for x, v in vec.normalize(vec.cross(vec.subtract(b, a), vec.subtract(c, a))).items()})
+        facing = reduce(lambda s, t: s + t, [way[x] * F.col(f"n{x}") for x in "xyz"])
+        key = [F.round(d, 9), -F.abs(F.round(facing, 9)), F.col("eid"), F.when(facing < 0, -d).otherwise(d).alias("distance")]
+    else:
+        key = [d.alias("distance"), F.col("eid")]
+
+    def best(k: int) -> DataFrame:
         part = points.where(F.pmod(F.xxhash64("elem_id"), F.lit(blocks)) == k).select("elem_id", "x", "y", "z")
         pairs = tri.crossJoin(F.broadcast(part))  # about ``block`` rows
-        best = pairs.groupBy("elem_id").agg(F.min(F.struct(d.alias("distance"), "eid")).alias("b")).select("elem_id", "b.eid", "b.distance")
-        out = best if out is None else out.unionByName(best)
-    return out
+        found = pairs.groupBy("elem_id").agg(F.min(F.struct(*key)).alias("b"))
+        return found.select("elem_id", "b.eid", "b.distance")
+
+    return best(0) if blocks == 1 else one_after_another(map(best, range(blocks)))
+
+
+def mesh_sdf(spark: SparkSession, mesh: Mesh, grid: Grid, out: str = "d", block: int = 2048) -> DataFrame:
+    """The signed distance of a closed surface at cell centers."""
+    where = lattice(spark, grid).withColumn("elem_id", linear_index(grid)).withColumns(centers(grid))
+    found = closest_surface(where, mesh, block, signed=True).select("elem_id", F.col("distance").alias(out))
+    return where.join(found, "elem_id").select(*grid.keys, out)
 
 
 def box_surface(spark: SparkSession, box: Box) -> Mesh:

@@ -183,8 +183,7 @@ def read_scalars(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 
 def cumulative_time(df: DataFrame, step_time: str, order: str = "frame", batch: tuple[str, ...] = ()) -> DataFrame:
-    """The running sum of step times as ``time``; a curve is one line, so give a batch for many curves."""
-    from pyspark.sql import Window
+    """The running sum of step times as ``time``, by ranges of the order."""
+    from ..operators.aggregate import running_total
 
-    w = Window.partitionBy(*batch).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("time", F.sum(step_time).over(w))
+    return running_total(df, [F.col(order)], F.col(step_time), "time", batch)
