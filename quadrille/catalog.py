@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, grids, more, shapes
+from .plans import arrays, grids, more, shapes, sheets
 
-_MODULES = (grids, arrays, shapes, more)
+_MODULES = (grids, arrays, shapes, more, sheets)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 

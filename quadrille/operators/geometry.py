@@ -276,6 +276,11 @@ class Cylinder(Geometry):
         beyond = F.sqrt(F.greatest(side, F.lit(0.0)) ** 2 + F.greatest(top, F.lit(0.0)) ** 2)
         return F.when((side > 0) | (top > 0), beyond).otherwise(F.greatest(side, top))
 
+    @property
+    def up(self) -> dict[str, float]:
+        """The unit vector along the axis."""
+        return {a: float(a == self.axis) for a in self.center}
+
     def with_radius(self, radius: float) -> Cylinder:
         return replace(self, radius=radius)
 

@@ -211,6 +211,29 @@ def bounds(mesh: Mesh) -> DataFrame:
     return bounding_box(mesh.vertices, ("x", "y"))
 
 
+def points_of(mesh: Mesh, name: str) -> DataFrame:
+    """Points of a named set: ``center`` (of elements), ``face`` (of faces, those between two elements once) or ``vertex``."""
+    if name == "center":
+        return geometry(mesh).select("eid", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    if name == "face":
+        once = faces(mesh).where(F.col("nb").isNull() | (F.col("eid") < F.col("nb")))
+        return once.select("eid", "nb", "boundary", F.col("cx").alias("x"), F.col("cy").alias("y"))
+    if name == "vertex":
+        return mesh.vertices
+    raise ValueError(f"no set {name!r}")
+
+
+def boundary_of(mesh: Mesh, name: str) -> DataFrame:
+    """What of a named set is at the rim, with the name of the boundary; ``center`` has nothing there."""
+    if name == "face":
+        return points_of(mesh, "face").where("nb is null").drop("nb")
+    if name == "vertex":
+        return boundary_connectivity(faces(mesh)).select(F.explode(F.array("v1", "v2")).alias("vid"), "boundary").distinct()
+    if name == "center":
+        return points_of(mesh, "center").withColumn("boundary", F.lit(None).cast("string")).limit(0)
+    raise ValueError(f"no set {name!r}")
+
+
 def distance_matrix(mesh: Mesh, face_rows: DataFrame) -> DataFrame:
     """(eid, nb, distance) of the centers of neighbouring elements."""
     centre = geometry(mesh).select("eid", "cx", "cy")

@@ -46,6 +46,21 @@ def vertex_normals(mesh: Mesh) -> DataFrame:
     return sums.select("vid", *[v.alias(f"n{x}") for x, v in unit.items()])
 
 
+def curvature(mesh: Mesh) -> DataFrame:
+    """(eid, cxx, cxy, ..., czz, scalar): how the vertex normals change along each triangle's edges, over twice its area; ``scalar`` is the trace.
+
+    On a ball of radius r the trace is the sum of the squared edges over twice the area and r.
+    """
+    at = mesh.elements.select("eid", F.posexplode("vids").alias("_k", "vid")).join(mesh.vertices, "vid").join(vertex_normals(mesh), "vid")
+    packed = F.array_sort(F.collect_list(F.struct("_k", "x", "y", "z", "nx", "ny", "nz")))  # three rows
+    t = at.groupBy("eid").agg(packed.alias("t")).join(normals(mesh).select("eid", "area"), "eid")
+    corner = lambda k, n: F.get("t", F.lit(k % 3))[n]
+    step = lambda k, n: corner(k + 1, n) - corner(k, n)
+    out = {f"c{x}{y}": reduce(lambda a, b: a + b, [step(k, x) * step(k, f"n{y}") for k in range(3)]) / (2 * F.col("area")) for x in "xyz" for y in "xyz"}
+    rows = t.select("eid", *[c.alias(n) for n, c in out.items()])
+    return rows.withColumn("scalar", F.col("cxx") + F.col("cyy") + F.col("czz"))
+
+
 def displaced(mesh: Mesh, distance: float) -> Mesh:
     """Vertices moved along their normals."""
     n = vertex_normals(mesh)
@@ -179,3 +194,42 @@ def save_triangles(mesh: Mesh, path: str) -> None:
 
 def load_triangles(spark: SparkSession, path: str) -> Mesh:
     return Mesh(spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/elements"))
+
+
+class MeshBuilder:
+    """Collects vertices and elements; numbers run on over all that is added."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._vertices, self._elements = [], []
+        self._next = 0
+
+    def add_vertices(self, vertices: DataFrame) -> int:
+        """Vertices (vid from 0 on, x, y, z); returns the number that is added to their ids."""
+        offset = self._next
+        self._vertices.append(vertices.withColumn("vid", F.col("vid") + offset))
+        self._next += vertices.count()
+        return offset
+
+    def add_elements(self, elements: DataFrame, offset: int = 0) -> None:
+        """Elements (vids) of vertices whose ids are moved by ``offset``: triangles, quadrilaterals or more."""
+        self._elements.append(elements.select(F.transform("vids", lambda v: v + offset).alias("vids")))
+
+    add_triangles = add_quads = add_elements
+
+    def new_quads(self, vertices: DataFrame, columns: int, closed: bool = False) -> int:
+        """Vertices that stand in rows of ``columns``, and the quadrilaterals between them."""
+        rows = vertices.count() // columns
+        offset = self.add_vertices(vertices)
+        per = columns if closed else columns - 1
+        self.add_quads(self.spark.range(max(0, rows - 1) * per).select(quads_between(columns, rows, closed).alias("vids")), offset)
+        return offset
+
+    def build(self) -> Mesh:
+        """The mesh; elements are numbered by their vertices, so equal input gives equal numbers."""
+        from .aggregate import running_total
+
+        vertices = reduce(DataFrame.unionByName, self._vertices)
+        elements = reduce(DataFrame.unionByName, self._elements)
+        numbered = running_total(elements.distinct(), [F.col("vids")], F.lit(1), "_n")
+        return Mesh(vertices, numbered.select((F.col("_n") - 1).alias("eid"), "vids"))
