@@ -130,6 +130,38 @@ class Field:
             )
         return replace(self, df=rows, grid=grid)
 
+    def where_dim(self, **values) -> Field:
+        """The slice at one value of some batch columns, which it then lacks."""
+        rows = self.df
+        for dim, v in values.items():
+            rows = rows.where(F.col(dim) == v)
+        batch = tuple(b for b in self.batch if b not in values)
+        return Field(rows.select(*batch, *self.grid.keys, self.value), self.grid, self.value, batch)
+
+    def expanded(self, dim: str, names: list) -> Field:
+        """The same values for each of some names of a new batch column."""
+        rows = self.df.withColumn(dim, F.explode(F.array(*[F.lit(n) for n in names])))
+        return Field(rows.select(dim, *self.keys, self.value), self.grid, self.value, (dim, *self.batch))
+
+    def renamed_dims(self, **names: str) -> Field:
+        """Batch columns and axes renamed."""
+        new = lambda k: names.get(k, k)
+        g, batch = self.grid, tuple(map(new, self.batch))
+        side = lambda d: {new(a): v for a, v in d.items()}
+        grid = Grid(side(g.resolution), side(g.lower), side(g.upper), side(g.boundary))
+        cols = [F.col(b).alias(new(b)) for b in self.batch] + [F.col(f"i{a}").alias(f"i{new(a)}") for a in g.axes]
+        return Field(self.df.select(*cols, self.value), grid, self.value, batch)
+
+    def packed(self, dims: tuple[str, ...], into: str) -> Field:
+        """Some batch columns as one, a struct of them."""
+        rest = tuple(b for b in self.batch if b not in dims)
+        packed = F.struct(*dims).alias(into)
+        return Field(self.df.select(packed, *rest, *self.grid.keys, self.value), self.grid, self.value, (into, *rest))
+
+    def stored(self) -> Field:
+        """Without cells that have no value or 0, as a sparse field stores them."""
+        return replace(self, df=self.df.where(F.col(self.value).isNotNull() & (F.col(self.value) != 0)))
+
     def as_points(self) -> DataFrame:
         return self.df.withColumns(centers(self.grid)).select(*self.batch, *self.grid.axes, self.value)
 

@@ -143,6 +143,30 @@ def bounding_box(df: DataFrame, axes: tuple[str, ...], half: str | None = None,
     return df.groupBy(*batch).agg(*[c for pair in parts for c in pair])
 
 
+def plot_limits(df: DataFrame, axes: tuple[str, ...], half: str | None = None, log: tuple[str, ...] = ()) -> DataFrame:
+    """One row with lower_<axis> and upper_<axis> that leave a margin around all finite elements and their half extents (0.1 if 0).
+
+    Linear axes grow by a tenth about their middle.  Logarithmic ones grow by 5 %
+    on both sides; a lower end that is not positive is set from the least and greatest values.
+    """
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    reach = F.lit(0.1) if half is None else F.when(F.col(half) == 0, 0.1).otherwise(F.col(half))
+    sums = []
+    for a in axes:
+        v = F.col(a).cast("double")
+        sums += [F.min(finite(v - reach)).alias(f"_l{a}"), F.max(finite(v + reach)).alias(f"_u{a}"), F.min(finite(v)).alias(f"_c{a}")]
+    out = []
+    for a in axes:
+        low, high, least = F.col(f"_l{a}"), F.col(f"_u{a}"), F.col(f"_c{a}")
+        if a in log:
+            lower, upper = F.when(low > 0, low * 0.95).otherwise(least * F.pow(least / high, F.lit(0.1))), high * 1.05
+        else:
+            middle, size = (low + high) / 2, (high - low) * 0.55
+            lower, upper = middle - size, middle + size
+        out += [lower.alias(f"lower_{a}"), upper.alias(f"upper_{a}")]
+    return df.agg(*sums).select(*out)
+
+
 def farthest_points(df: DataFrame, axes: tuple[str, ...], count: int, element: str = "elem_id") -> DataFrame:
     """Greedy farthest-point sampling, from the smallest id on; ties go to the smaller id.
 

@@ -65,6 +65,28 @@ def gradient(
     return t.own(t.df.withColumns(out))
 
 
+def upwind_gradient(
+    df: DataFrame, grid: Grid, velocity: dict[str, str], value: str = "v", order: int = 1, batch: tuple[str, ...] = ()
+) -> DataFrame:
+    """Adds d<axis>: the one-sided difference towards where the velocity comes from; of order 1 or 2.
+
+    ``velocity`` names a column for each axis wanted.  Where it is 0 the slope is the mean of both sides.
+    """
+    if order not in (1, 2):
+        raise ValueError(f"one-sided differences have order 1 or 2, not {order}")
+    flow = tuple(dict.fromkeys(velocity.values()))
+    t = tiled(df, grid, {a: (order, order) for a in velocity}, (value, *flow), batch, carried=flow)
+    weights = {1: (1.0, -1.0), 2: (1.5, -2.0, 0.5)}[order]
+    out = {}
+    for a, name in velocity.items():
+        back, ahead = (
+            _total([t.neighbour(value, a, side * k) * F.lit(-side * w) for k, w in enumerate(weights)]) / F.lit(grid.dx[a]) for side in (-1, 1)
+        )
+        u = F.col(name)
+        out[f"d{a}"] = F.when(u > 0, back).when(u < 0, ahead).when(u == 0, (back + ahead) / 2)
+    return t.own(t.df.withColumns(out))
+
+
 #: Compact schemes of order 6 (fixed values): the neighbours' weight on the left side, and on the right those of
 #: differences over one and two cells, for the first derivative, the second, and the value half a cell up.
 COMPACT = {"first": (1 / 3, 14 / 9, 1 / 9), "second": (2 / 11, 12 / 11, 3 / 11), "half": (3 / 10, 3 / 4, 1 / 20)}

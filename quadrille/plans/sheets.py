@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..meta import Grid
-from ..operators import aggregate, lattice, solve, surfaces
+from ..operators import aggregate, lattice, solve, stencil, surfaces
 from ..sources import scene
 from .grids import r6
+from .more import O_SQL, along, order_lattice
 from .tables import G_SQL, P_SQL, line_field, line_grid, plain_points, rounded, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -162,3 +163,33 @@ def fourier_by_lines_residual(spark, sf_dir):
     mean = F.broadcast(v.agg(F.avg("v").alias("m")))  # one row
     both = back.join(v, grid.keys).crossJoin(mean)
     return both.select(*grid.keys, (F.abs(F.col("back") - F.col("v") + F.col("m")) < 1e-8).alias("small"))
+
+
+# --- one-sided differences, limits ------------------------------------------------------------------------
+
+
+def _side(axis: str, k: int) -> str:
+    one, two = along("v", k, axis, "v"), along("v", 2 * k, axis, f"last{axis}{'u' if k > 0 else 'd'}")
+    return f"({-k} * (1.5 * v - 2 * {one} + 0.5 * {two}))"
+
+
+@query(f"""with {O_SQL}, d as (select ix, iy, v, w, l_x, f_x, l_y, f_y from (select *, last_value(v) over (partition by iy order by ix rows between unbounded preceding and unbounded following) as l_x,
+  first_value(v) over (partition by iy order by ix) as f_x, last_value(v) over (partition by ix order by iy rows between unbounded preceding and unbounded following) as l_y,
+  first_value(v) over (partition by ix order by iy) as f_y from o)),
+e as (select ix, iy, v, w, l_x as lastixu, f_x as lastixd, l_y as lastiyu, f_y as lastiyd from d),
+g as (select ix, iy, w, {_side('ix', -1)} as bx, {_side('ix', 1)} as ax, {_side('iy', -1)} as by_, {_side('iy', 1)} as ay from e)
+select ix, iy, {r6("case when ix % 3 = 0 then bx when ix % 3 = 1 then (ax + bx) / 2 else ax end", "dx")},
+  {r6("case when iy % 2 = 0 then by_ else ay end", "dy")} from g""")
+def orders_upwind_gradient(spark, sf_dir):
+    """Second order, by a velocity that comes from below, is 0, or from above by turns."""
+    df, grid = order_lattice(spark, sf_dir)
+    flow = df.select("ix", "iy", "v", (1.0 - F.col("ix") % 3).alias("p"), F.when(F.col("iy") % 2 == 0, 0.5).otherwise(-0.5).alias("q"))
+    return rounded(stencil.upwind_gradient(flow, grid, {"x": "p", "y": "q"}, order=2).select("ix", "iy", "dx", "dy"))
+
+
+@query(f"""with s as (select min(s_acctbal - 0.1) as lx, max(s_acctbal + 0.1) as ux, min(s_suppkey - 0.1) as ly, max(s_suppkey + 0.1) as uy, min(s_suppkey) as my from supplier)
+select {r6("((lx + ux) / 2 - (ux - lx) * 0.55)::double", "lower_x")}, {r6("((lx + ux) / 2 + (ux - lx) * 0.55)::double", "upper_x")},
+{r6("case when ly > 0 then ly * 0.95 else my * pow(my / uy, 0.1) end::double", "lower_y")}, {r6("(uy * 1.05)::double", "upper_y")} from s""")
+def plot_limits(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("y"))
+    return rounded(aggregate.plot_limits(rows, ("x", "y"), log=("y",)))

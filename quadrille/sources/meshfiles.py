@@ -53,12 +53,18 @@ def parse_su2(raw: bytes) -> Iterator[tuple]:
 
 
 def parse_gmsh(raw: bytes) -> Iterator[tuple]:
-    """The same from Gmsh text of version 2; lines are boundary edges named by their physical group."""
+    """The same from Gmsh text of version 2 or 4; lines are boundary edges named by their physical group."""
     sections = {m[1]: m[2].strip().splitlines() for m in re.finditer(r"\$(\w+)\n(.*?)\$End\1", raw.decode(), re.S)}
     names = {}
     for line in sections.get("PhysicalNames", [])[1:]:
         _, tag, name = line.split(maxsplit=2)
         names[int(tag)] = name.strip('"')
+    head = sections.get("MeshFormat", ["2"])[0].split()
+    if len(head) > 1 and head[1] != "0":
+        raise ValueError("binary Gmsh files are not supported")
+    if float(head[0]) >= 4:
+        yield from _parse_gmsh4(sections, names)
+        return
     for line in sections.get("Nodes", [])[1:]:
         n, x, y, z = line.split()
         yield ("vertex", int(n) - 1, float(x), float(y), float(z), None, None)
@@ -76,6 +82,38 @@ def parse_gmsh(raw: bytes) -> Iterator[tuple]:
         count[kind] += 1
 
 
+def _parse_gmsh4(sections: dict[str, list[str]], names: dict[int, str]) -> Iterator[tuple]:
+    """Version 4: nodes and elements in blocks by entity; an entity's first physical group names its lines."""
+    groups: dict[tuple[int, int], int] = {}
+    rows = iter(sections.get("Entities", []))
+    for rank, n in enumerate(map(int, next(rows, "").split())):
+        for _ in range(n):
+            v = next(rows).split()
+            at = 4 if rank == 0 else 7  # after the tag, a place or a box
+            if int(v[at]):
+                groups[rank, int(v[0])] = int(v[at + 1])
+    rows = iter(sections.get("Nodes", []))
+    for _ in range(int(next(rows, "0").split()[0])):
+        n = int(next(rows).split()[3])
+        tags = [int(next(rows)) for _ in range(n)]
+        for tag in tags:
+            x, y, z = map(float, next(rows).split()[:3])
+            yield ("vertex", tag - 1, x, y, z, None, None)
+    rows, count = iter(sections.get("Elements", [])), {"element": 0, "boundary": 0}
+    for _ in range(int(next(rows, "0").split()[0])):
+        rank, entity, kind, n = map(int, next(rows).split())
+        if kind in GMSH_SOLIDS:
+            raise ValueError("meshes of solids are not supported: their faces are no edges")
+        size = GMSH_SIZES[kind]
+        group = groups.get((rank, entity), 0)
+        for _ in range(n):
+            vids = [int(x) - 1 for x in next(rows).split()[1 : 1 + size]]
+            if size > 1:
+                what = "boundary" if size == 2 else "element"
+                yield (what, count[what], None, None, None, vids, names.get(group, str(group)) if size == 2 else None)
+                count[what] += 1
+
+
 def parse_stl(raw: bytes) -> Iterator[tuple]:
     """Triangles of text or binary STL; equal corners are one vertex."""
     if raw[:5] == b"solid" and b"facet" in raw[:2000]:
