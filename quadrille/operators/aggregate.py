@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..meta import Grid
 from .lattice import centers
+from .solve import cut
 
 #: Rows of a curve that are averaged in one window.
 RUN = 4096
@@ -59,9 +60,11 @@ def running_total(df: DataFrame, order: Sequence[Column], weight: Column, out: s
     """The sum of ``weight`` over all rows up to each in an order without ties, per batch.
 
     Rows are dealt by ranges of the order and summed within them; the ranges'
-    totals (a row a partition and batch) give what lies before each.
+    totals (a row a partition and batch) give what lies before each.  The dealt
+    rows are kept with their range in the checkpoint folder: ranges come from a
+    sample, so dealt twice, a row could be in another one.
     """
-    ranged = df.repartitionByRange(*[F.col(b) for b in batch], *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(df.repartitionByRange(*[F.col(b) for b in batch], *order).withColumn("_p", F.spark_partition_id()))
     within = Window.partitionBy("_p", *batch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = ranged.withColumn("_in", F.sum(weight).over(within)).withColumn("_w", weight)
     heads = run.groupBy("_p", *batch).agg(F.sum("_w").alias("_all"))

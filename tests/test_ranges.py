@@ -30,6 +30,24 @@ def test_running_total_and_curves(spark):
     assert aggregate.down_sample(nulls, "frame", 250, ("part",)).count() == 3
 
 
+def test_ranges_of_many_rows_are_dealt_once(spark, tmp_path):
+    n = 200_000  # far more rows than are sampled for the ranges
+    rows = spark.range(0, n, 1, 12).select("id", (F.col("id") % 1000).cast("double").alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    df, v = spark.read.parquet(f"{tmp_path}/rows"), np.arange(n) % 1000.0
+    held = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+    for k, x in held.items():
+        spark.conf.set(k, x)
+    try:
+        got = {r.id: r.t for r in aggregate.running_total(df, [F.col("id")], F.lit(1), "t").select("id", "t").collect()}
+        curve = {r.id: r.smooth for r in aggregate.smooth(df, "id", "v", 3).select("id", "smooth").collect()}
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert len(got) == n and all(got[k] == k + 1 for k in range(n))
+    assert len(curve) == n and np.allclose([curve[k] for k in range(1, n - 1)], (v[:-2] + v[1:-1] + v[2:]) / 3)
+
+
 def test_a_constant_field_is_one_tie(spark):
     grid = Grid.of(0.0, x=20, y=30)
     df = lattice.lattice(spark, grid, v=2.0)
