@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from quadrille.operators import aggregate
 from quadrille.plans.grids import QUERIES as GRIDS
+from quadrille.plans.shapes import ORACLE_SQL
 from quadrille.plans.shapes import QUERIES as SHAPES
 
 
@@ -42,3 +44,16 @@ def test_histogram_keeps_rows_beyond_its_bounds(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 2), (7.0, 3), (3.0, 4)], "value double, w int")
     got = {r.bin: r.weight for r in aggregate.histogram(df, "value", 0.0, 4.0, 2, "w").collect()}
     assert got == {0: 2.0, 1: 4.0, 2: 3.0}
+
+
+def test_histogram_differs_from_its_sql_by_the_rows_that_it_leaves_out(spark, tmp_path):
+    edges = [x for k in range(21) for x in (25.0 * k, np.nextafter(25.0 * k, -1e9), np.nextafter(25.0 * k, 1e9))]
+    odd = [-0.0, 5e-324, -5e-324, 560.21, 1e308, float("inf"), float("-inf"), float("nan"), None]
+    values = [v if v is None else float(v) for v in edges + odd + list(np.random.default_rng(11).exponential(60, 500).round(2))]
+    spark.createDataFrame([(v,) for v in values], "value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.bin: r.weight for r in SHAPES["histogram_values"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert {k: w for k, w in got.items() if k in range(20)} == dict(c.execute(ORACLE_SQL["histogram_values"]).fetchall())
+    below, above = (sum(v is not None and f(v) for v in values) for f in (lambda v: v < 0, lambda v: v > 500))
+    assert (got[-1], got[20], got[None]) == (below, above, 2) and sum(got.values()) == len(values)
